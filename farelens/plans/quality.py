@@ -76,23 +76,19 @@ def format_errors(
     return raw.where(unparsed).select("trip_id", text.alias("raw_value"))
 
 
-def fare_fence(tables: TripTables) -> DataFrame:
-    """One row ``(lower, upper)``: quartiles of the fare widened by 1.5 interquartile ranges."""
-    return _fence(value_histogram(tables.fact_trips, F.col("fare_amount")))
-
-
-def _fence(histogram: DataFrame) -> DataFrame:
+def fence(histogram: DataFrame) -> Column:
+    """A record ``{lower, upper}``: the quartiles of a histogram widened by 1.5 interquartile ranges."""
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
     reach = (q3 - q1) * FENCE_WIDTH
-    return distribution(histogram, (0.25, 0.75)).select(
-        (q1 - reach).alias("lower"), (q3 + reach).alias("upper")
-    )
+    bounds = F.struct((q1 - reach).alias("lower"), (q3 + reach).alias("upper"))
+    return distribution(histogram, (0.25, 0.75)).select(bounds.alias("bounds")).scalar()
 
 
-def outliers(tables: TripTables) -> DataFrame:
-    """``(trip_id, fare_amount)`` of trips whose fare lies above the upper fence."""
-    upper = fare_fence(tables).select("upper").scalar()
-    return tables.fact_trips.where(F.col("fare_amount") > upper).select("trip_id", "fare_amount")
+def outliers(tables: TripTables, column: str = "fare_amount") -> DataFrame:
+    """``(trip_id, <column>)`` of trips whose amount lies above the upper fence."""
+    amount = F.col(column)
+    upper = fence(value_histogram(tables.fact_trips, amount))["upper"]
+    return tables.fact_trips.where(amount > upper).select("trip_id", column)
 
 
 def duplicates(tables: TripTables) -> DataFrame:
@@ -121,10 +117,8 @@ def scorecard(tables: TripTables, as_of: Column | None = None) -> DataFrame:
     ).unpivot([], ["Complétude", "Validité", "Actualité"], "dimension", "score")
 
     histogram = value_histogram(fact, F.col("fare_amount"))
-    fence = _fence(histogram)
-    inside = F.col("value").between(
-        fence.select("lower").scalar(), fence.select("upper").scalar()
-    )
+    bounds = fence(histogram)
+    inside = F.col("value").between(bounds["lower"], bounds["upper"])
     own_scans = {
         "Unicité": _occurrences(tables).agg(
             _percent(F.count("trip_id"), F.sum("occurrences")).alias("score")

@@ -25,7 +25,8 @@ Years = Collection[int] | None
 
 
 def trip_count() -> Column:
-    return F.count("trip_id").alias("trip_count")
+    # trip_id is the primary key and never NULL, so counting rows counts ids without reading them.
+    return F.count("*").alias("trip_count")
 
 
 def volume_measures() -> dict[str, Column]:
@@ -232,7 +233,7 @@ def borough_flows(
     """
     measures = {"avg_fare_amount": F.col("fare_amount")}
     ends = ["pickup_location_key", "dropoff_location_key"]
-    trips = per_key(in_pickup_years(tables.fact_trips, years).dropna(subset=ends), ends, measures, stable)
+    trips = per_key(in_pickup_years(tables.fact_trips, years), ends, measures, stable)
     named = tables.dim_location.where(~F.col("borough").isin("Unknown", ""))
     for role in ("pickup", "dropoff"):
         places = in_role(named.select("location_key", "borough"), "location_key", role)

@@ -150,8 +150,8 @@ FLOWS = f"""
 def rollup(period: str) -> str:
     def weighted(column: str) -> str:
         return (
-            f"cast(sum(cast({column} * trip_count AS decimal(18,6))) AS double)"
-            f" / greatest(sum(trip_count), 1) AS {column}"
+            f"round(cast(sum(cast({column} * trip_count AS decimal(18,6))) AS double)"
+            f" / greatest(sum(trip_count), 1), 6) AS {column}"
         )
 
     means = ", ".join(
@@ -217,12 +217,19 @@ FIELD_PCT = " UNION ALL ".join(
 )
 MEAN_PCT = " + ".join(f"100e0 * count({c}) / nullif(count(*), 0)" for c in COMPLETENESS.values())
 
-FENCE = """
+def fence(column: str) -> str:
+    return f"""
     SELECT q[1] - (q[2] - q[1]) * 1.5e0 AS lower, q[2] + (q[2] - q[1]) * 1.5e0 AS upper
-    FROM (SELECT quantile_cont(fare_amount, [0.25, 0.75]) AS q FROM fact_trips)"""
+    FROM (SELECT quantile_cont({column}, [0.25, 0.75]) AS q FROM fact_trips)"""
+
+
+def outliers(column: str) -> str:
+    return f"""
+    SELECT trip_id, {column} FROM fact_trips WHERE {column} > (SELECT upper FROM ({fence(column)}))"""
+
 
-OUTLIERS = f"""
-    SELECT trip_id, fare_amount FROM fact_trips WHERE fare_amount > (SELECT upper FROM ({FENCE}))"""
+FENCE = fence("fare_amount")
+OUTLIERS = outliers("fare_amount")
 
 DUPLICATES = "SELECT trip_id, count(*) AS occurrences FROM fact_trips GROUP BY 1 HAVING count(*) > 1"
 
@@ -368,6 +375,7 @@ QUERIES = {
     "dq_missing_values": MISSING,
     "dq_format_errors": FORMAT_ERRORS,
     "dq_outliers": OUTLIERS,
+    "dq_outliers_tip": outliers("tip_amount"),
     "dq_duplicates": DUPLICATES,
     "dq_alerts": ALERTS,
     "dq_alert_page": f"SELECT * FROM ({ALERTS}) ORDER BY id LIMIT 2 OFFSET 2",
