@@ -1,0 +1,388 @@
+"""Semantics that are easy to get wrong, on hand-made trips."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from farelens.operators.distribution import distribution, value_histogram
+from farelens.plans import kpi, reports
+from tests.conftest import rows
+
+
+def at(text):
+    return dt.datetime.fromisoformat(text)
+
+
+MONDAY = at("2024-05-06T10:00:00")
+
+
+# --- volume and fees -------------------------------------------------------------------------
+
+
+def test_volume_counts_all_trips_but_averages_only_known_values(make_tables):
+    t = make_tables(
+        [
+            {"pickup": MONDAY, "total_amount": 10.0, "tip_amount": None, "trip_distance": 1.0},
+            {"pickup": MONDAY, "total_amount": None, "tip_amount": None, "trip_distance": 2.0},
+        ]
+    )
+    assert rows(reports.trip_volume(t)) == [(MONDAY.date(), 2, 10.0, 0.0, 1.5, 0.0)]
+
+
+def test_volume_duration_includes_zero_and_negative_trips(make_tables):
+    t = make_tables(
+        [
+            {"pickup": MONDAY, "dropoff": MONDAY + dt.timedelta(seconds=90)},
+            {"pickup": MONDAY, "dropoff": MONDAY},
+            {"pickup": MONDAY, "dropoff": MONDAY - dt.timedelta(seconds=30)},
+        ]
+    )
+    assert rows(reports.trip_volume(t))[0][-1] == 20.0
+
+
+def test_volume_leaves_out_days_without_trips_and_trips_without_a_day(make_tables):
+    t = make_tables(
+        [
+            {"pickup": at("2024-03-03T08:00:00")},
+            {"pickup": at("2024-03-01T08:00:00")},
+            {"pickup": at("2023-03-01T08:00:00")},
+            {},
+        ]
+    )
+    assert [r[:2] for r in rows(reports.trip_volume(t))] == [
+        (dt.date(2024, 3, 1), 1),
+        (dt.date(2024, 3, 3), 1),
+    ]
+
+
+def test_volume_by_period_weighs_trips_not_days(make_tables):
+    trips = [{"pickup": at("2024-03-01T08:00:00"), "tip_amount": 4.0}]
+    trips += [{"pickup": at("2024-03-02T08:00:00"), "tip_amount": x} for x in (None, None, 1.0)]
+    t = make_tables(trips)
+    assert rows(reports.trip_volume(t, period="month").select("date", "trip_count", "avg_tip_amount")) == [
+        (dt.date(2024, 3, 1), 4, 2.5)
+    ]
+
+
+def test_empty_fact_gives_empty_groups(make_tables):
+    t = make_tables()
+    for report in (
+        reports.trip_volume,
+        reports.financial_breakdown,
+        reports.payment_analysis,
+        reports.vendor_analysis,
+        reports.rate_code_analysis,
+        reports.hourly_activity,
+        reports.passenger_analysis,
+        reports.zone_activity,
+        reports.borough_flows,
+    ):
+        assert rows(report(t)) == []
+
+
+def test_financial_breakdown_is_monthly_unless_told_otherwise(make_tables):
+    t = make_tables(
+        [
+            {"pickup": at("2024-01-31T23:59:59"), "fare_amount": 1.0, "extra": None},
+            {"pickup": at("2024-02-01T00:00:00"), "fare_amount": 3.0, "extra": 2.0},
+        ]
+    )
+    monthly = rows(reports.financial_breakdown(t))
+    assert [r[0] for r in monthly] == [dt.date(2024, 1, 1), dt.date(2024, 2, 1)]
+    assert monthly[0] == (dt.date(2024, 1, 1), 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    quarterly = reports.financial_breakdown(t, period="quarter").select("date", "avg_fare_amount", "avg_extra")
+    assert rows(quarterly) == [(dt.date(2024, 1, 1), 2.0, 2.0)]
+    with pytest.raises(ValueError):
+        reports.financial_breakdown(t, period="decade")
+
+
+def test_years_keep_whole_calendar_years(make_tables):
+    t = make_tables(
+        [
+            {"pickup": at("2023-12-31T23:59:59")},
+            {"pickup": at("2024-01-01T00:00:00")},
+            {"pickup": at("2024-12-31T23:59:59")},
+            {"pickup": at("2025-01-01T00:00:00")},
+            {"passenger_count": 1},
+        ]
+    )
+    count = lambda years: sum(r[1] for r in rows(reports.passenger_analysis(t, years=years)))
+    assert [count([2024]), count([2023, 2025]), count([2030]), count([]), count(None)] == [2, 2, 0, 5, 5]
+
+
+# --- labels ----------------------------------------------------------------------------------
+
+
+def test_unknown_label_does_not_merge_with_a_row_of_that_name(make_tables):
+    payments = [
+        {"payment_type_key": 1, "payment_type_name": "Inconnu"},
+        {"payment_type_key": 2, "payment_type_name": None},
+        {"payment_type_key": 3, "payment_type_name": "Cash"},
+        {"payment_type_key": 4, "payment_type_name": "Cash"},
+    ]
+    keys = [1] * 3 + [2] * 2 + [9] * 2 + [None] + [3] + [4]
+    t = make_tables([{"payment_type_key": k, "tip_amount": 2.0} for k in keys], dim_payment_type=payments)
+    assert rows(reports.payment_analysis(t)) == [("Inconnu", 5, 2.0), ("Inconnu", 3, 2.0), ("Cash", 2, 2.0)]
+
+
+def test_rate_codes_without_name_merge_with_unmatched(make_tables):
+    codes = [{"rate_code_key": 1, "rate_code_name": None}, {"rate_code_key": 2, "rate_code_name": "JFK"}]
+    trips = [{"rate_code_key": k, "total_amount": 1.0} for k in (1, 7, None, 2)]
+    t = make_tables(trips, dim_rate_code=codes)
+    assert rows(reports.rate_code_analysis(t)) == [("Inconnu", 3, 1.0, 0.0, 0.0), ("JFK", 1, 1.0, 0.0, 0.0)]
+
+
+def test_vendor_labels(make_tables):
+    vendors = [
+        {"vendor_key": 1, "vendor_name": "  Acme "},
+        {"vendor_key": 2, "vendor_name": "   "},
+        {"vendor_key": 3, "vendor_name": None},
+        {"vendor_key": 4, "vendor_name": "Acme"},
+    ]
+    keys = [1] * 5 + [2] * 4 + [3] * 3 + [4] * 2 + [None] * 4 + [8] * 4
+    t = make_tables([{"vendor_key": k} for k in keys], dim_vendor=vendors)
+    assert [r[:2] for r in rows(reports.vendor_analysis(t))] == [
+        ("Inconnu", 8),
+        ("Acme", 5),
+        ("Vendor 2", 4),
+        ("Vendor 3", 3),
+        ("Acme", 2),
+    ]
+
+
+# --- activity --------------------------------------------------------------------------------
+
+
+def test_hourly_activity_uses_iso_days_and_puts_unknown_times_last(make_tables):
+    t = make_tables(
+        [
+            {},
+            {"pickup": at("2024-05-12T23:10:00")},
+            {"pickup": at("2024-05-06T00:00:00")},
+            {"pickup": at("2024-05-13T00:59:59")},
+        ]
+    )
+    assert rows(reports.hourly_activity(t)) == [(1, 0, 2), (7, 23, 1), (None, None, 1)]
+
+
+def test_passengers_unknown_last(make_tables):
+    t = make_tables([{"passenger_count": n} for n in (None, 2, 0, 2, None)])
+    assert rows(reports.passenger_analysis(t)) == [(0, 1), (2, 2), (None, 2)]
+
+
+def test_hours_do_not_follow_the_session_time_zone(spark, make_tables):
+    # 02:30 does not exist in New York on this day.
+    t = make_tables([{"pickup": at("2024-03-10T02:30:00"), "dropoff": at("2024-03-10T03:30:00")}])
+    assert rows(reports.hourly_activity(t)) == [(7, 2, 1)]
+    assert rows(reports.trip_duration_stats(t))[0][0] == 3600.0
+
+
+# --- places ----------------------------------------------------------------------------------
+
+PLACES = [
+    {"location_key": 1, "location_id": 11, "zone": "A", "borough": "Bronx"},
+    {"location_key": 2, "location_id": 22, "zone": "B", "borough": "Queens"},
+    {"location_key": 3, "location_id": 33, "zone": "C", "borough": "Unknown"},
+    {"location_key": 4, "location_id": 44, "zone": "D", "borough": ""},
+    {"location_key": 5, "location_id": 55, "zone": "E", "borough": None},
+    {"location_key": 6, "location_id": 66, "zone": "F", "borough": "Bronx"},
+]
+
+
+def test_zones_keep_unknown_places_in_one_row(make_tables):
+    keys = [1, 1, 1, None, 99, 5]
+    t = make_tables([{"pickup_location_key": k, "total_amount": 4.0} for k in keys], dim_location=PLACES)
+    assert rows(reports.zone_activity(t)) == [
+        (11, "A", "Bronx", 3, 4.0),
+        (None, None, None, 2, 4.0),
+        (55, "E", None, 1, 4.0),
+    ]
+
+
+def test_flows_need_two_named_boroughs(make_tables):
+    ends = [(1, 2), (6, 2), (2, 1), (1, 3), (4, 1), (5, 1), (1, None), (99, 1), (None, None)]
+    t = make_tables(
+        [
+            {"pickup_location_key": p, "dropoff_location_key": d, "fare_amount": float(i)}
+            for i, (p, d) in enumerate(ends)
+        ],
+        dim_location=PLACES,
+    )
+    assert rows(reports.borough_flows(t)) == [("Bronx", "Queens", 2, 0.5), ("Queens", "Bronx", 1, 2.0)]
+
+
+def test_flows_order_ties_at_the_limit_by_name(make_tables):
+    places = [{"location_key": i, "borough": f"B{i}"} for i in range(5)]
+    ends = [(p, d) for p in range(5) for d in range(5)] + [(4, 4)]
+    t = make_tables([{"pickup_location_key": p, "dropoff_location_key": d} for p, d in ends], dim_location=places)
+    top = [r[:3] for r in rows(reports.borough_flows(t, top_n=3))]
+    assert top == [("B4", "B4", 2), ("B0", "B0", 1), ("B0", "B1", 1)]
+    assert reports.borough_flows(t, top_n=None).count() == 25
+
+
+# --- durations and efficiency ----------------------------------------------------------------
+
+
+def brute_quantile(values, p):
+    values = sorted(values)
+    position = p * (len(values) - 1)
+    low = int(position)
+    high = min(low + 1, len(values) - 1)
+    return values[low] + (position - low) * (values[high] - values[low])
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [5.0],
+        [1.0, 2.0],
+        [3.0, 3.0, 3.0, 9.0],
+        [-2.5, -2.25, -0.5, 0.0, 0.75],
+        [7.0] * 500 + [float(i) for i in range(1000)],
+        [round(random.Random(7).gauss(0, 50), 2) for _ in range(997)],
+    ],
+)
+def test_distribution_equals_brute_force(spark, values):
+    fractions = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = distribution(value_histogram(df, F.col("v")), fractions).first()
+    assert got["rows"] == len(values)
+    assert (got["lowest"], got["highest"]) == (min(values), max(values))
+    assert got["mean"] == pytest.approx(sum(values) / len(values))
+    assert got["quantiles"] == pytest.approx([brute_quantile(values, p) for p in fractions])
+
+
+def test_distribution_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    got = distribution(value_histogram(df, F.col("v"))).first()
+    assert (got["rows"], got["mean"], got["quantiles"]) == (0, None, [None, None, None])
+
+
+def timed_trip(seconds):
+    return {"pickup": MONDAY, "dropoff": MONDAY + dt.timedelta(seconds=seconds)}
+
+
+def test_duration_stats_take_positive_durations_only(make_tables):
+    t = make_tables([timed_trip(s) for s in (-5, 0, 10, 20, 30.5, 40)] + [{"pickup": MONDAY}])
+    assert rows(reports.trip_duration_stats(t)) == [(25.125, 10.0, 40.0, 17.5, 25.25, 32.875)]
+    approx = rows(reports.trip_duration_stats(t, approx=True))[0]
+    assert approx[:3] == (25.125, 10.0, 40.0)
+    assert approx[3] in (10.0, 20.0) and approx[5] in (30.5, 40.0)
+
+
+def test_duration_stats_without_trips_are_zero(make_tables):
+    t = make_tables([timed_trip(-1)])
+    assert rows(reports.trip_duration_stats(t)) == [(0.0,) * 6]
+    assert rows(reports.trip_duration_stats(t, approx=True)) == [(0.0,) * 6]
+
+
+def test_fare_efficiency_is_a_mean_of_ratios(make_tables):
+    t = make_tables(
+        [
+            {**timed_trip(60), "fare_amount": 10.0, "trip_distance": 1.0},
+            {**timed_trip(600), "fare_amount": 20.0, "trip_distance": 10.0},
+            {**timed_trip(0), "fare_amount": 99.0, "trip_distance": 0.0},
+            {**timed_trip(-60), "fare_amount": 99.0, "trip_distance": None},
+            {**timed_trip(60), "fare_amount": None, "trip_distance": 3.0},
+        ]
+    )
+    assert rows(reports.fare_efficiency(t)) == [(6.0, 6.0)]
+    assert rows(reports.fare_efficiency(make_tables())) == [(0.0, 0.0)]
+
+
+# --- key figures -----------------------------------------------------------------------------
+
+
+def trips_on(*days, **columns):
+    return [{"pickup": at(f"{day}T12:00:00"), **columns} for day in days]
+
+
+def test_kpi_window(make_tables):
+    t = make_tables(
+        trips_on("2024-09-30", "2023-11-01", total_amount=100.0)
+        + trips_on("2024-10-01", "2024-12-01", "2024-12-31", total_amount=6.0)
+        + trips_on("2024-12-31", total_amount=None),
+        days=(dt.date(2023, 1, 1), dt.date(2025, 1, 31)),
+    )
+    got = kpi.kpi_trends(t).first()
+    assert got["total_trips"].asDict() == {"current": 4.0, "previous": 0.0, "trend": 0.0}
+    assert got["avg_trips_per_period"]["current"] == 4 / 3.0
+    assert got["max_trips_per_period"]["current"] == 3.0
+    assert got["avg_amount_overall"]["current"] == 6.0
+    assert rows(kpi.kpi_window_totals(t)) == [(dt.date(2024, 12, 31), 4, 6.0)]
+    assert rows(kpi.kpi_busiest_month(t)) == [(dt.date(2024, 12, 1), 3, 6.0, 0.0, 0.0, 0.0)]
+
+
+def test_kpi_with_calendar_but_no_trips(make_tables):
+    t = make_tables()
+    assert [v["current"] for v in kpi.kpi_trends(t).first()] == [0.0] * 4
+    assert rows(kpi.kpi_window_totals(t)) == [(dt.date(2024, 12, 31), 0, 0.0)]
+    assert rows(kpi.kpi_busiest_month(t))[0][:2] == (dt.date(2024, 10, 1), 0)
+
+
+def test_kpi_without_calendar_falls_back(make_tables):
+    t = make_tables(trips_on("2024-10-05", total_amount=5.0), days=None)
+    as_of = F.lit(dt.date(2030, 2, 14))
+    assert [v["current"] for v in kpi.kpi_trends(t).first()] == [0.0] * 4
+    assert rows(kpi.kpi_window_totals(t, as_of=as_of)) == [(dt.date(2030, 2, 14), 0, 0.0)]
+    assert rows(kpi.kpi_busiest_month(t, as_of=as_of)) == [(dt.date(2030, 2, 1), 0, 0.0, 0.0, 0.0, 0.0)]
+
+
+def test_period_trend_compares_with_the_calendar_period_before(make_tables):
+    t = make_tables(
+        trips_on("2024-01-05", "2024-01-06", total_amount=10.0)
+        + trips_on("2024-02-05", "2024-02-06", "2024-02-07", total_amount=5.0)
+        + trips_on("2024-04-05", total_amount=5.0),
+        days=(dt.date(2024, 1, 1), dt.date(2024, 4, 30)),
+    )
+    got = kpi.kpi_period_trend(t)
+    assert rows(got.select("trip_count", "previous_trip_count", "trip_count_trend")) == [
+        (2, None, None),
+        (3, 2, 50.0),
+        (0, 3, -100.0),
+        (1, 0, None),
+    ]
+    assert rows(got.select("avg_total_amount_trend")) == [(None,), (-50.0,), (-100.0,), (None,)]
+
+
+def test_period_trend_years_still_see_the_period_before(make_tables):
+    t = make_tables(
+        trips_on("2023-12-20", "2023-12-21", "2024-01-02"),
+        days=(dt.date(2022, 1, 1), dt.date(2025, 12, 31)),
+    )
+    first = kpi.kpi_period_trend(t, years=[2024]).first()
+    assert (first["date"], first["previous_trip_count"], first["trip_count_trend"]) == (dt.date(2024, 1, 1), 2, -50.0)
+    assert kpi.kpi_period_trend(t, years=[2024]).count() == 12
+
+
+# --- invariants ------------------------------------------------------------------------------
+
+
+def test_counts_add_up(star):
+    total = star.fact_trips.count()
+
+    def counted(report):
+        return report.agg(F.sum("trip_count")).first()[0]
+
+    for report in (
+        reports.hourly_activity,
+        reports.passenger_analysis,
+        reports.vendor_analysis,
+        reports.payment_analysis,
+        reports.rate_code_analysis,
+        reports.zone_activity,
+    ):
+        assert counted(report(star)) == total
+    assert counted(reports.trip_volume(star)) <= total
+    assert counted(reports.trip_volume(star, period="week")) == counted(reports.trip_volume(star))
+
+
+def test_plain_and_stable_means_agree(star):
+    plain, stable = rows(reports.vendor_analysis(star)), rows(reports.vendor_analysis(star, stable=True))
+    assert [r[:2] for r in plain] == [r[:2] for r in stable]
+    for a, b in zip(plain, stable):
+        assert a[2:] == pytest.approx(b[2:])
