@@ -1,12 +1,8 @@
-"""Calendar periods and pickup-year filters."""
+"""Calendar periods."""
 
 from __future__ import annotations
 
-from collections.abc import Collection
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PERIODS = ("day", "week", "month", "quarter", "year")
@@ -17,20 +13,3 @@ def period_start(date: Column, period: str) -> Column:
     if period not in PERIODS:
         raise ValueError(f"unknown period {period!r}; use one of {PERIODS}")
     return date if period == "day" else F.trunc(date, period)
-
-
-def in_pickup_years(fact: DataFrame, years: Collection[int] | None) -> DataFrame:
-    """Keep trips picked up in the given years; no years means all trips.
-
-    Written as timestamp ranges rather than ``year(ts)``, so that the filter reaches the scan.
-    """
-    if not years:
-        return fact
-    pickup = F.col("tpep_pickup_datetime")
-    return fact.where(
-        reduce(or_, [(pickup >= _january_first(y)) & (pickup < _january_first(y + 1)) for y in years])
-    )
-
-
-def _january_first(year: int) -> Column:
-    return F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz")

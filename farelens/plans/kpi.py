@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from farelens.functions.measures import mean_of, merge_parts
 from farelens.functions.periods import period_start
+from farelens.operators.scope import Years, days_in, trips_in
 from farelens.plans.reports import per_key, volume_measures
-from farelens.sources.schema import MONTH_PARTITION, TripTables
+from farelens.sources.schema import TripTables
 
 
 def _calendar_periods(
@@ -22,25 +23,17 @@ def _calendar_periods(
     period: str,
     names: Collection[str],
     stable: bool,
-    years: Collection[int] | None = None,
+    years: Years = None,
     from_month: int = 1,
 ) -> DataFrame:
     """``(date, last_day, trip_count, parts...)`` per period of the calendar window."""
-
-    def in_window(df: DataFrame, year: str, month: str) -> DataFrame:
-        if years is not None:
-            df = df.where(F.col(year).isin(*years))
-        return df.where(F.col(month) >= from_month) if from_month > 1 else df
-
-    fact = tables.fact_trips
-    if set(MONTH_PARTITION.names) <= set(fact.columns):
-        fact = in_window(fact, *MONTH_PARTITION.names)
     measures = {name: value for name, value in volume_measures().items() if name in names}
-    days = in_window(tables.dim_date, "year", "month").select(
+    trips = per_key(trips_in(tables, years, from_month), ["pickup_date_key"], measures, stable)
+    days = days_in(tables, years, from_month).select(
         F.col("date_key").alias("pickup_date_key"), "full_date"
     )
     return (
-        days.join(per_key(fact, ["pickup_date_key"], measures, stable), "pickup_date_key", "left")
+        days.join(trips, "pickup_date_key", "left")
         .groupBy(period_start(F.col("full_date"), period).alias("date"))
         .agg(
             F.max("full_date").alias("last_day"),
@@ -136,7 +129,7 @@ def kpi_period_trend(
     tables: TripTables,
     *,
     period: str = "month",
-    years: Collection[int] | None = None,
+    years: Years = None,
     stable: bool = False,
 ) -> DataFrame:
     """Trips and mean total per calendar period, with the previous period's and the change in %.
@@ -144,7 +137,7 @@ def kpi_period_trend(
     The change is NULL where the previous figure is missing or 0. ``years`` keeps the periods that
     start in those years; their first period is still compared with the one before.
     """
-    needed = None if years is None else sorted({y for year in years for y in (year - 1, year, year + 1)})
+    needed = sorted({y for year in years or () for y in (year - 1, year, year + 1)})
     periods = _calendar_periods(tables, period, ["avg_total_amount"], stable, needed)
     rows = periods.select("date", "trip_count", mean_of("avg_total_amount"))
     by_date = Window.orderBy("date")
@@ -153,7 +146,7 @@ def kpi_period_trend(
         rows = rows.withColumn(f"previous_{name}", F.lag(name).over(by_date)).withColumn(
             f"{name}_trend", (F.col(name) - previous) * 100.0 / F.nullif(previous, F.lit(0))
         )
-    if years is not None:
+    if years:
         rows = rows.where(F.year("date").isin(*years))
     return rows.orderBy("date")
 

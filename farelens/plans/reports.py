@@ -2,8 +2,9 @@
 
 Every grouped report aggregates the fact table on its own key columns before any join, so that
 only one row per key and task is shuffled, whatever the skew, and dimensions are joined to the
-small result. All take ``years`` (pickup years to keep, default all) and ``stable`` (means that
-do not depend on task order, see ``farelens.functions.measures``).
+small result. All take ``years`` (calendar years of pickup to keep, default all); those with
+grouped means take ``stable`` (means that do not depend on task order, see
+``farelens.functions.measures``).
 """
 
 from __future__ import annotations
@@ -15,14 +16,13 @@ from pyspark.sql import functions as F
 
 from farelens.functions.durations import elapsed_seconds
 from farelens.functions.measures import mean_of, mean_parts, merge_parts
-from farelens.functions.periods import in_pickup_years, period_start
+from farelens.functions.periods import period_start
 from farelens.operators.distribution import distribution, value_histogram
 from farelens.operators.enrich import in_role
 from farelens.operators.reshape import UNKNOWN
+from farelens.operators.scope import Years, trips_in
 from farelens.sources.schema import TripTables
 
-Years = Collection[int] | None
-
 
 def trip_count() -> Column:
     # trip_id is the primary key and never NULL, so counting rows counts ids without reading them.
@@ -58,7 +58,7 @@ def trip_volume(
     A longer ``period`` gives the means over all its trips (compare ``reshape.period_rollup``).
     """
     measures = volume_measures()
-    trips = per_key(in_pickup_years(tables.fact_trips, years), ["pickup_date_key"], measures, stable)
+    trips = per_key(trips_in(tables, years), ["pickup_date_key"], measures, stable)
     return _per_period(tables, trips, period, measures)
 
 
@@ -69,7 +69,7 @@ def financial_breakdown(
     amounts = ["fare", "tip", "tolls"]
     columns = [f"{a}_amount" for a in amounts] + ["mta_tax", "improvement_surcharge", "extra", "total_amount"]
     measures = {f"avg_{c}": F.col(c) for c in columns}
-    trips = per_key(in_pickup_years(tables.fact_trips, years), ["pickup_date_key"], measures, stable)
+    trips = per_key(trips_in(tables, years), ["pickup_date_key"], measures, stable)
     return _per_period(tables, trips, period, measures).drop("trip_count")
 
 
@@ -83,14 +83,8 @@ def _per_period(
 
 def payment_analysis(tables: TripTables, *, years: Years = None, stable: bool = False) -> DataFrame:
     """Trips and mean tip per payment type."""
-    return _by_name(
-        tables.fact_trips,
-        tables.dim_payment_type,
-        "payment_type",
-        {"avg_tip_amount": F.col("tip_amount")},
-        years,
-        stable,
-    )
+    measures = {"avg_tip_amount": F.col("tip_amount")}
+    return _by_name(trips_in(tables, years), tables.dim_payment_type, "payment_type", measures, stable)
 
 
 def rate_code_analysis(tables: TripTables, *, years: Years = None, stable: bool = False) -> DataFrame:
@@ -100,21 +94,16 @@ def rate_code_analysis(tables: TripTables, *, years: Years = None, stable: bool
         "avg_trip_distance": F.col("trip_distance"),
         "avg_tip_amount": F.col("tip_amount"),
     }
-    return _by_name(tables.fact_trips, tables.dim_rate_code, "rate_code", measures, years, stable)
+    return _by_name(trips_in(tables, years), tables.dim_rate_code, "rate_code", measures, stable)
 
 
 def _by_name(
-    fact: DataFrame,
-    dimension: DataFrame,
-    entity: str,
-    measures: Mapping[str, Column],
-    years: Years,
-    stable: bool,
+    fact: DataFrame, dimension: DataFrame, entity: str, measures: Mapping[str, Column], stable: bool
 ) -> DataFrame:
     # The label is put on after grouping: a dimension row that happens to be called 'Inconnu'
     # stays apart from the trips without a name.
     key, name = f"{entity}_key", f"{entity}_name"
-    trips = per_key(in_pickup_years(fact, years), [key], measures, stable)
+    trips = per_key(fact, [key], measures, stable)
     named = trips.join(dimension.select(key, name), key, "left")
     report = regroup(named, [F.col(name)], measures)
     return report.withColumn(name, F.coalesce(name, F.lit(UNKNOWN))).orderBy(F.desc("trip_count"), name)
@@ -123,7 +112,7 @@ def _by_name(
 def vendor_analysis(tables: TripTables, *, years: Years = None, stable: bool = False) -> DataFrame:
     """Trips and mean total and distance per vendor (key and name)."""
     measures = {"avg_total_amount": F.col("total_amount"), "avg_trip_distance": F.col("trip_distance")}
-    trips = per_key(in_pickup_years(tables.fact_trips, years), ["vendor_key"], measures, stable)
+    trips = per_key(trips_in(tables, years), ["vendor_key"], measures, stable)
     vendors = tables.dim_vendor.select(
         "vendor_key", F.col("vendor_key").alias("known_key"), "vendor_name"
     )
@@ -146,7 +135,7 @@ def hourly_activity(tables: TripTables, *, years: Years = None) -> DataFrame:
     """Trips per ISO weekday (Monday 1) and hour of pickup; trips without a pickup time come last."""
     pickup = F.col("tpep_pickup_datetime")
     return (
-        in_pickup_years(tables.fact_trips, years)
+        trips_in(tables, years)
         .groupBy(
             (F.weekday(pickup) + 1).alias("day_of_week"),
             F.hour(pickup).alias("hour_of_day"),
@@ -159,7 +148,7 @@ def hourly_activity(tables: TripTables, *, years: Years = None) -> DataFrame:
 def passenger_analysis(tables: TripTables, *, years: Years = None) -> DataFrame:
     """Trips per passenger count, the unknown count last."""
     return (
-        in_pickup_years(tables.fact_trips, years)
+        trips_in(tables, years)
         .groupBy("passenger_count")
         .agg(trip_count())
         .orderBy(F.asc_nulls_last("passenger_count"))
@@ -171,7 +160,7 @@ def trip_duration_stats(tables: TripTables, *, years: Years = None, approx: bool
 
     Quartiles are exact; ``approx=True`` takes Spark's one-pass approximate percentiles instead.
     """
-    timed = in_pickup_years(tables.fact_trips, years).where(
+    timed = trips_in(tables, years).where(
         F.col("trip_duration") > F.expr("INTERVAL '0' SECOND")
     )
     seconds = elapsed_seconds(F.col("trip_duration"))
@@ -205,7 +194,7 @@ def fare_efficiency(tables: TripTables, *, years: Years = None) -> DataFrame:
         "avg_fare_per_km": F.when(distance > 0, fare / distance),
         "avg_fare_per_minute": F.when(seconds > 0, fare / (seconds / 60.0)),
     }
-    return in_pickup_years(tables.fact_trips, years).agg(
+    return trips_in(tables, years).agg(
         *[F.coalesce(F.avg(ratio), F.lit(0.0)).alias(name) for name, ratio in ratios.items()]
     )
 
@@ -213,7 +202,7 @@ def fare_efficiency(tables: TripTables, *, years: Years = None) -> DataFrame:
 def zone_activity(tables: TripTables, *, years: Years = None, stable: bool = False) -> DataFrame:
     """Trips and mean total per pickup zone; trips from unknown places share one all-NULL row."""
     measures = {"avg_total_amount": F.col("total_amount")}
-    trips = per_key(in_pickup_years(tables.fact_trips, years), ["pickup_location_key"], measures, stable)
+    trips = per_key(trips_in(tables, years), ["pickup_location_key"], measures, stable)
     places = tables.dim_location.select(
         F.col("location_key").alias("pickup_location_key"), "location_id", "zone", "borough"
     )
@@ -233,7 +222,7 @@ def borough_flows(
     """
     measures = {"avg_fare_amount": F.col("fare_amount")}
     ends = ["pickup_location_key", "dropoff_location_key"]
-    trips = per_key(in_pickup_years(tables.fact_trips, years), ends, measures, stable)
+    trips = per_key(trips_in(tables, years), ends, measures, stable)
     named = tables.dim_location.where(~F.col("borough").isin("Unknown", ""))
     for role in ("pickup", "dropoff"):
         places = in_role(named.select("location_key", "borough"), "location_key", role)

@@ -108,7 +108,8 @@ def test_years_keep_whole_calendar_years(make_tables):
             {"pickup": at("2024-12-31T23:59:59")},
             {"pickup": at("2025-01-01T00:00:00")},
             {"passenger_count": 1},
-        ]
+        ],
+        days=(dt.date(2023, 1, 1), dt.date(2025, 12, 31)),
     )
     count = lambda years: sum(r[1] for r in rows(reports.passenger_analysis(t, years=years)))
     assert [count([2024]), count([2023, 2025]), count([2030]), count([]), count(None)] == [2, 2, 0, 5, 5]
