@@ -7,7 +7,7 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.functions.measures import STABLE_TYPE
+from farelens.functions.measures import exact_sum
 from farelens.functions.periods import period_start
 
 UNKNOWN = "Inconnu"
@@ -48,8 +48,8 @@ def period_rollup(daily: DataFrame, period: str, stable: bool = False) -> DataFr
 
     def weighted(mean: str):
         product = F.col(mean) * F.col("trip_count")
-        total = F.sum(product.cast(STABLE_TYPE) if stable else product).cast("double")
-        return (total / F.greatest(count, F.lit(1))).alias(mean)
+        total = exact_sum(product) if stable else F.sum(product)
+        return (total.cast("double") / F.greatest(count, F.lit(1))).alias(mean)
 
     return (
         daily.groupBy(start.alias("date"))

@@ -23,6 +23,7 @@ from farelens.sources.schema import (
 from farelens.sources.tables import load_tables, write_tables
 
 SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region")
+RAW_PICKUPS = "trip_id bigint, pickup_datetime string"
 FIRST_DAY, LAST_DAY = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 
 # The two code dimensions.
@@ -48,21 +49,38 @@ def stage_star(spark: SparkSession, sf_dir: str) -> TripTables:
 
     Without a shared folder on a cluster the lazy plans are returned as they are.
     """
+    return _stage(spark, sf_dir)[0]
+
+
+def stage_raw_pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`raw_pickups`, stored beside the staged tables at its first use."""
+    tables, root = _stage(spark, sf_dir)
+    if root is None:
+        return raw_pickups(tables)
+    path = f"{root}/raw_pickups"
+    if path not in _staged_raw:
+        raw_pickups(tables).write.parquet(path)
+        _staged_raw[path] = spark.read.schema(RAW_PICKUPS).parquet(path)
+    return _staged_raw[path]
+
+
+_staged: dict[tuple, tuple[TripTables, str | None]] = {}
+_staged_raw: dict[str, DataFrame] = {}
+
+
+def _stage(spark: SparkSession, sf_dir: str) -> tuple[TripTables, str | None]:
     version = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir))
     if version not in _staged:
-        tables = derive_star(spark, sf_dir)
+        tables, root = derive_star(spark, sf_dir), None
         folder = _shared_folder(spark)
         if folder is not None:
             root = f"{folder}/farelens-{version[0]}-{uuid.uuid4().hex}"
             write_tables(tables, root)
             tables = load_tables(spark, root)
-        _staged[version] = tables
+        _staged[version] = tables, root
     return _staged[version]
 
 
-_staged: dict[tuple, TripTables] = {}
-
-
 def _shared_folder(spark: SparkSession) -> str | None:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.master.startswith("local"):
@@ -89,7 +107,7 @@ def raw_pickups(tables: TripTables) -> DataFrame:
         F.when(F.col("trip_id") % 29 == 0, F.lit(None))
         .when(F.col("trip_id") % 23 == 0, F.lit("n/a"))
         .when(F.col("trip_id") % 19 == 0, F.date_format(pickup, "dd/MM/yyyy HH:mm"))
-        .otherwise(F.date_format(pickup, "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(pickup.cast("string"))
     )
     return tables.fact_trips.select("trip_id", text.alias("pickup_datetime"))
 

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as registry
 from farelens.plans import kpi, quality, reports
+from tests.conftest import TESTDATA
 
 FORBIDDEN = (
     "CartesianProduct",
@@ -67,9 +68,9 @@ def paths(node, above=()):
         yield from paths(children.apply(i), (*above, node.nodeName()))
 
 
-@pytest.mark.parametrize("name", sorted(registry.REPORTS))
-def test_no_cross_join_and_no_python(star, name):
-    text = plan_of(registry.REPORTS[name](star)).toString()
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_no_cross_join_and_no_python(spark, name):
+    text = plan_of(registry.queries()[name](spark, TESTDATA)).toString()
     assert not [bad for bad in FORBIDDEN if bad in text]
 
 

@@ -97,6 +97,25 @@ def test_missing_duplicates_and_format_errors(spark, make_tables):
         "trip_id long, pickup_datetime string",
     )
     assert rows(quality.format_errors(t, raw)) == [(2, "01/05/2024 10:00"), (4, "2024-13-01 10:00:00"), (5, "")]
+    french = quality.format_errors(t, raw, fmt="dd/MM/yyyy HH:mm")
+    assert [r[0] for r in rows(french)] == [1, 4, 5]
+
+
+def test_default_format_is_strict(spark, make_tables):
+    texts = [
+        "2024-05-01",
+        "2024-05-01T10:00:00",
+        "2024-05-01 10:00",
+        "2024-05-01 10:00:00.5",
+        "2024-05-01 10:00:00\n",
+        " 2024-05-01 10:00:00",
+        "2024-02-30 10:00:00",
+        "2024-05-01 24:00:00",
+        "2024-03-10 02:30:00",
+        "2024-05-01 10:00:00",
+    ]
+    raw = spark.createDataFrame(list(enumerate(texts)), "trip_id long, pickup_datetime string")
+    assert [r[1] for r in rows(quality.format_errors(make_tables(), raw))] == texts[:8]
 
 
 def test_alerts(spark, make_tables):

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from farelens.functions.durations import elapsed_seconds, interval_from_seconds
 from farelens.operators.enrich import trips_enriched, with_trip_duration
-from farelens.plans import reports
-from farelens.sources.driver_star import stage_star
+from farelens.plans import kpi, reports
+from farelens.sources.driver_star import derive_star, stage_raw_pickups, stage_star
 from farelens.sources.export import export
 from farelens.sources.schema import SCHEMAS, conform
 from farelens.sources.tables import load_tables, write_tables
@@ -43,6 +43,25 @@ def test_staging_is_done_once(spark):
     assert stage_star(spark, TESTDATA) is stage_star(spark, TESTDATA)
 
 
+def test_raw_pickups_are_stored_once(spark, star):
+    raw = stage_raw_pickups(spark, TESTDATA)
+    assert raw is stage_raw_pickups(spark, TESTDATA)
+    assert raw.count() == star.fact_trips.count()
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        lambda t: reports.passenger_analysis(t, years=[1996, 1999]),
+        lambda t: reports.trip_volume(t, years=[1996], stable=True),
+        lambda t: kpi.kpi_busiest_month(t, year=2001, from_month=6, stable=True),
+        lambda t: kpi.kpi_period_trend(t, period="quarter", years=[1998], stable=True),
+    ],
+)
+def test_month_partitions_do_not_change_results(spark, star, report):
+    assert rows(report(star)) == rows(report(derive_star(spark, TESTDATA)))
+
+
 def test_conform_casts_and_orders(spark):
     loose = spark.createDataFrame([("7", "Acme", 3)], "vendor_id string, vendor_name string, vendor_key long")
     assert rows(conform(loose, SCHEMAS["dim_vendor"])) == [(3, 7, "Acme")]
