@@ -7,7 +7,7 @@ task ever holds more than the distinct whole units or the distinct values inside
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def value_histogram(df: DataFrame, value: Column) -> DataFrame:
-    """``(value, n)`` for every distinct non-null value."""
+def value_histogram(
+    df: DataFrame, value: Column, number: Callable[[Column], Column] = lambda v: v
+) -> DataFrame:
+    """``(value, n, unit)`` for every distinct non-null value, shown as a ``number``.
+
+    ``number`` must be one-to-one; it is applied to distinct values only. ``unit`` is the whole part
+    (rounded down) of the value.
+    """
     return (
-        df.select(value.cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value")
+        df.select(value.alias("raw"))
+        .where(F.col("raw").isNotNull())
+        .groupBy("raw")
         .agg(F.count("*").alias("n"))
+        .select(number(F.col("raw")).cast("double").alias("value"), "n")
+        .withColumn("unit", F.floor("value"))
+        # Always true. A join on unit would add it to one side only, and Spark would then not see
+        # that both sides come from the same histogram and would compute that twice.
+        .where(F.col("unit").isNotNull())
     )
 
 
@@ -31,8 +42,7 @@ def distribution(histogram: DataFrame, fractions: Sequence[float] = QUARTILES) -
     ``quantiles`` is an array in the order of ``fractions``; each is interpolated linearly between
     the two neighbouring values. An empty histogram gives zero rows counted and NULL elsewhere.
     """
-    by_unit = histogram.withColumn("unit", F.floor("value"))
-    per_unit = by_unit.groupBy("unit").agg(
+    per_unit = histogram.groupBy("unit").agg(
         F.sum("n").alias("unit_n"),
         F.sum(F.col("value") * F.col("n")).alias("unit_total"),
         F.min("value").alias("unit_lowest"),
@@ -65,7 +75,7 @@ def distribution(histogram: DataFrame, fractions: Sequence[float] = QUARTILES) -
     )
     upto = Window.partitionBy("slot", "rank").orderBy("value")
     located = (
-        in_unit.join(by_unit, "unit")
+        in_unit.join(histogram, "unit")
         .withColumn("rows_upto", F.col("rows_before") + F.sum("n").over(upto))
         .where(F.col("rows_upto") > F.col("rank"))
         .groupBy("slot", "rank", "rows", "total", "lowest", "highest")

@@ -163,16 +163,15 @@ def trip_duration_stats(tables: TripTables, *, years: Years = None, approx: bool
     timed = trips_in(tables, years).where(
         F.col("trip_duration") > F.expr("INTERVAL '0' SECOND")
     )
-    seconds = elapsed_seconds(F.col("trip_duration"))
     if approx:
-        stats = timed.select(seconds.alias("s")).agg(
+        stats = timed.select(elapsed_seconds(F.col("trip_duration")).alias("s")).agg(
             F.avg("s").alias("mean"),
             F.min("s").alias("lowest"),
             F.max("s").alias("highest"),
             F.percentile_approx("s", [0.25, 0.5, 0.75]).alias("quantiles"),
         )
     else:
-        stats = distribution(value_histogram(timed, seconds))
+        stats = distribution(value_histogram(timed, F.col("trip_duration"), elapsed_seconds))
     figures = {
         "avg": F.col("mean"),
         "min": F.col("lowest"),

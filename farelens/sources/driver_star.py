@@ -85,7 +85,6 @@ def _shared_folder(spark: SparkSession) -> str | None:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="farelens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

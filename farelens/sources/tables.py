@@ -20,7 +20,7 @@ def write_tables(tables: TripTables, root: str) -> None:
         F.col("date_key").alias("pickup_date_key"),
         F.col("year").alias("partition_year"),
         F.col("month").alias("partition_month"),
-    )
+    ).dropDuplicates(["pickup_date_key"])
     fact = conform(tables.fact_trips, FACT_TRIPS).join(months, "pickup_date_key", "left")
     (
         fact.select(*FACT_TRIPS.names, *MONTH_PARTITION.names)

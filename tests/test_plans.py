@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 import __spark_entry__ as registry
@@ -116,3 +118,31 @@ def test_key_figures_read_only_their_months(star, static_plans):
 
 def test_top_flows_need_no_full_sort(star, static_plans):
     assert "TakeOrderedAndProject" in plan_of(reports.borough_flows(star)).toString()
+
+
+def executed_fact_scans(spark, df):
+    """Scans of the fact table that ran, reused parts counted once, from Spark's own record."""
+    df.collect()
+    store = spark._jsparkSession.sharedState().statusStore()
+    executions = store.executionsList()
+    run = executions.apply(executions.size() - 1)
+    deadline = time.time() + 10
+    while store.execution(run.executionId()).get().completionTime().isEmpty() and time.time() < deadline:
+        time.sleep(0.1)
+    nodes = store.planGraph(run.executionId()).allNodes()
+    described = [nodes.apply(i).desc() for i in range(nodes.size())]
+    return len([d for d in described if d.startswith("FileScan") and "partition_month#" in d])
+
+
+@pytest.mark.parametrize(
+    ("report", "expected"),
+    [
+        (reports.trip_duration_stats, 1),
+        (lambda t: kpi.kpi_busiest_month(t, year=2001, from_month=6), 1),
+        (quality.outliers, 2),
+        # latest pickup, field counts, ids, consistency, fare histogram
+        (quality.scorecard, 5),
+    ],
+)
+def test_shared_parts_are_computed_once(spark, star, report, expected):
+    assert executed_fact_scans(spark, report(star)) == expected

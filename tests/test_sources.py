@@ -120,3 +120,12 @@ def test_export(spark, make_tables, tmp_path):
     assert sorted(rows(spark.read.parquet(str(tmp_path / "parquet"))), key=repr) == sorted(rows(report), key=repr)
     with pytest.raises(ValueError):
         export(report, str(tmp_path / "x"), "xlsx")
+
+
+def test_export_of_nested_key_figures(make_tables, tmp_path):
+    t = make_tables([{"pickup": dt.datetime(2024, 11, 2), "total_amount": 8.0}])
+    export(kpi.kpi_trends(t), str(tmp_path / "kpi"))
+    (line,) = [x for p in Path(tmp_path / "kpi").glob("part-*") for x in p.read_text().splitlines()]
+    record = json.loads(line)
+    assert record["total_trips"] == {"current": 1.0, "previous": 0.0, "trend": 0.0}
+    assert list(record) == ["total_trips", "avg_trips_per_period", "max_trips_per_period", "avg_amount_overall"]
