@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
+from farelens.operators.enrich import trips_enriched
 from farelens.plans import kpi, quality, reports
 from tests.conftest import TESTDATA
 
@@ -146,3 +149,27 @@ def executed_fact_scans(spark, df):
 )
 def test_shared_parts_are_computed_once(spark, star, report, expected):
     assert executed_fact_scans(spark, report(star)) == expected
+
+
+def test_a_hot_vendor_is_split_when_vendors_cannot_be_broadcast(spark, star):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    saved = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    hot = F.when(F.col("trip_id") % 3 > 0, F.lit(7)).otherwise(F.col("vendor_key"))
+    skewed = dataclasses.replace(star, fact_trips=star.fact_trips.withColumn("vendor_key", hot))
+    df = trips_enriched(skewed).select("trip_id", "vendor_name")
+    got = df.collect()
+    text = plan_of(df).toString()
+    for k, v in saved.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in text
+    assert len(got) == star.fact_trips.count()
