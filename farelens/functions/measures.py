@@ -44,7 +44,7 @@ def merge_parts(names: Iterable[str]) -> list[Column]:
     return [F.sum(f"{name}__{part}").alias(f"{name}__{part}") for name in names for part in ("sum", "n")]
 
 
-def mean_of(name: str, default: float | None = 0.0) -> Column:
-    """The mean from its parts; ``default`` where no input was non-null."""
+def mean_of(name: str) -> Column:
+    """The mean from its parts; 0.0 where no input was non-null."""
     ratio = F.col(f"{name}__sum").cast("double") / F.nullif(F.col(f"{name}__n"), F.lit(0))
-    return (ratio if default is None else F.coalesce(ratio, F.lit(default))).alias(name)
+    return F.coalesce(ratio, F.lit(0.0)).alias(name)
