@@ -9,19 +9,19 @@ their ids; what it remembers is bounded.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # Fixed value: the pre-token pattern of byte-level BPE with 50,257 ids.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 200_000  # fragments a worker remembers
+REMEMBERED = 60_000  # pre-tokens a worker remembers
 LONGEST_REMEMBERED = 64  # characters
+PIECE = 256  # rows
 
 
 def _byte_letters() -> dict[int, str]:
@@ -105,41 +105,53 @@ def _bpe(path: str) -> ForcedBoundaryBpe:
     return ForcedBoundaryBpe(path)
 
 
-def encode_column(text: Column, path: str) -> Column:
-    """The ids of a text as little-endian unsigned 32-bit integers in one binary value."""
+def _in_pieces(docs: DataFrame, path: str, read: str, schema: str, code) -> DataFrame:
+    """``docs`` with the columns of ``schema`` that ``code(bpe, values)`` makes from column ``read``.
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _bpe(path)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t).tobytes() for t in texts], dtype=object)
-
-    return encode(F.coalesce(text, F.lit("")))
+    Arrow batches are worked through in pieces, so that a worker holds the results of few rows.
+    """
+    added = T.StructType.fromDDL(schema)
+    own = docs.select(*[c for c in docs.columns if c not in added.names])
 
+    def run(batches):
+        bpe = _bpe(path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(start, PIECE)
+                made = code(bpe, piece.column(read).to_pylist())
+                arrays = [pa.array(values, kind) for values, kind in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], [*piece.schema.names, *added.names])
 
-def decode_column(ids: Column, path: str) -> Column:
-    """The text of ids in the form of ``encode_column``; NULL gives the empty text."""
+    kinds = [{"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[f.dataType.simpleString()] for f in added]
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *added.fields]))
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _bpe(path)
-        for packed in batches:
-            yield pd.Series([bpe.decode(p) for p in packed], dtype=object)
 
-    return decode(F.coalesce(ids, F.lit(b"")))
+def _encoded(bpe: ForcedBoundaryBpe, texts: list) -> tuple[list, list]:
+    ids = [bpe.encode(t or "") for t in texts]
+    return [len(i) for i in ids], [i.tobytes() for i in ids]
 
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens and ids (see ``encode_column``); earlier columns of these names are replaced.
+    """``docs`` with n_tokens and ids; earlier columns of these names are replaced.
 
-    NULL and empty texts have no ids. ``path`` is the tokenizer file, which every machine must have.
+    ids holds little-endian unsigned 32-bit integers in one binary value. NULL and empty texts have no
+    ids (an empty value). ``path`` is the tokenizer file, which every machine must have.
     """
-    own = docs.select(*[c for c in docs.columns if c not in ("ids", "n_tokens")])
-    return own.withColumn("ids", encode_column(F.col(text_col), path)).withColumn(
-        "n_tokens", (F.octet_length("ids") / 4).cast("long")
+    return _in_pieces(docs, path, text_col, "n_tokens long, ids binary", _encoded)
+
+
+def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with column decoded, the texts of its ids; bytes that are not UTF-8 become U+FFFD."""
+    return _in_pieces(
+        encoded, path, ids_col, "decoded string", lambda bpe, packed: ([bpe.decode(p or b"") for p in packed],)
     )
 
 
-def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """``encoded`` with the texts of its ids; bytes that are not UTF-8 become U+FFFD."""
-    return encoded.withColumn(to, decode_column(F.col(ids_col), path))
+def encode_and_decode(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass: n_tokens, ids and decoded."""
+
+    def both(bpe: ForcedBoundaryBpe, texts: list):
+        counts, ids = _encoded(bpe, texts)
+        return counts, ids, [bpe.decode(i) for i in ids]
+
+    return _in_pieces(docs, path, text_col, "n_tokens long, ids binary, decoded string", both)

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.llm import bpe, lines, mixing, shards
+from farelens.llm import bpe, lines, minhash, mixing, shards
 from farelens.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -27,7 +27,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.encode_and_decode(docs, path)
     return coded.select(
         "doc_id",
         "n_tokens",
@@ -36,6 +36,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(documents(spark, sf_dir).select("doc_id"), SHARDS)
 
@@ -52,6 +56,7 @@ def queries() -> dict:
     return {
         "op1_mix": op1_mix,
         "op7_bpe": op7_bpe,
+        "op8_minhash": op8_minhash,
         "op9_shard": op9_shard,
         "op10_lines": op10_lines,
     }
