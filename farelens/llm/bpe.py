@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 # Fixed value: the pre-token pattern of byte-level BPE with 50,257 ids.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 60_000  # pre-tokens a worker remembers
+REMEMBERED = 300_000  # pre-tokens a worker remembers
 LONGEST_REMEMBERED = 64  # characters
 PIECE = 256  # rows
 
@@ -47,9 +47,9 @@ class ForcedBoundaryBpe:
         self.vocabulary = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         inside = {(t[i], t[i + 1]) for t in self.vocabulary.values() for i in range(len(t) - 1)}
-        self.joinable = np.zeros((256, 256), dtype=bool)
+        self.joinable = bytearray(65_536)
         for a, b in inside:
-            self.joinable[a, b] = True
+            self.joinable[a << 8 | b] = 1
         pattern = PRE_TOKEN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
         pattern = pattern.replace(r"(?!\S)", r"(?!\P{White_Space})")
         self.pre_tokens = regex.compile(pattern).findall
@@ -58,15 +58,16 @@ class ForcedBoundaryBpe:
         self.bytes_of = dict(self.vocabulary) | {i: name.encode() for name, i in self.added.items()}
         self.known = _Remembered(self)
 
-    def cuts(self, raw: np.ndarray) -> np.ndarray:
+    def cuts(self, raw: bytes) -> list[int]:
         """Places i where a cut between bytes i - 1 and i is certain."""
-        return np.flatnonzero(~self.joinable[raw[:-1], raw[1:]]) + 1
+        joinable = self.joinable
+        return [i for i in range(1, len(raw)) if not joinable[raw[i - 1] << 8 | raw[i]]]
 
     def encode_pre_token(self, token: str) -> tuple[int, ...]:
         raw = token.encode("utf-8")
         ids: list[int] = []
         start = 0
-        for end in [*self.cuts(np.frombuffer(raw, dtype=np.uint8)).tolist(), len(raw)]:
+        for end in [*self.cuts(raw), len(raw)]:
             fragment = "".join(map(self.letters.__getitem__, raw[start:end]))
             ids.extend(t.id for t in self.model.tokenize(fragment))
             start = end
