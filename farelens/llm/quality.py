@@ -28,16 +28,16 @@ STATISTICS = {
     "word_chars": 0.4,  # mean code points of a word
     "symbols": 0.01,  # share of symbols among the code points of words
     "shouts": 0.01,  # share of ! and ? among them
-    "capitals": 0.05,  # share of code points that lower-casing changes
     "copied_lines": 0.10,  # share of lines that repeat an earlier one
     "repeats": 0.05,  # share of words in repeated windows
 }
 SHARE = 0.75  # of the rows of a group that a fit is made from
-STEPS = 4
+STEPS = 3
 LEAST_ROWS = 60
-CUTOFF = 42.0  # squared distance; chi-squared with 7 degrees of freedom exceeds it once in 2 million
+CUTOFF = 40.0  # squared distance; chi-squared with 6 degrees of freedom exceeds it once in 2 million
 BINS_PER_UNIT = 20  # of the log of squared distances
 WINDOW_WORDS = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OWN = "_q_"
 
 
@@ -91,7 +91,7 @@ def _covered(places: Column) -> Column:
 
 def base_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and for each row n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, plus the counts of ``!?`` and of capitals for the fit. NULL counts as the empty text.
+    base_failed, plus the counts of lines with a word and of ``!?`` for the fit. NULL counts as the empty text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
@@ -106,7 +106,6 @@ def base_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...
         .cast("long")
         .alias("n_dup_lines"),
         (F.length(text) - F.length(_without(text, "!?"))).cast("long").alias(OWN + "shouts"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long").alias(OWN + "capitals"),
     ).select(
         *keep,
         F.size(OWN + "words").cast("long").alias("n_words"),
@@ -114,7 +113,7 @@ def base_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...
         "n_symbols",
         "n_dup_lines",
         repeated_words(F.col(OWN + "words")).alias("n_repeat_words"),
-        *[OWN + c for c in ("lines", "shouts", "capitals")],
+        *[OWN + c for c in ("lines", "shouts")],
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
@@ -131,7 +130,6 @@ def _statistics() -> dict[str, Column]:
         "word_chars": share("word_chars", "n_words"),
         "symbols": share("n_symbols", "word_chars"),
         "shouts": share(OWN + "shouts", "word_chars"),
-        "capitals": share(OWN + "capitals", "word_chars"),
         "copied_lines": share("n_dup_lines", OWN + "lines"),
         "repeats": share("n_repeat_words", "n_words"),
     }
@@ -142,103 +140,113 @@ NAMES = tuple(STATISTICS)
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
-def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
+def _sums(rows: DataFrame) -> DataFrame:
     whole = [F.col("x_" + n) for n in NAMES]
-    return rows.groupBy(*by).agg(
+    return rows.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(x).alias(f"s{i}") for i, x in enumerate(whole)],
         *[F.sum((whole[i] * whole[j]).cast("decimal(20,0)")).alias(f"p{i}_{j}") for i, j in PAIRS],
     )
 
 
-def _fit(sums: DataFrame, by: list[str]) -> DataFrame:
+def _fit(sums: DataFrame) -> DataFrame:
     """Means and the lower Cholesky factor of the covariance of each group, in units of 1."""
     n = F.col("n").cast("double")
-    mean = {i: F.col(f"s{i}").cast("double") / n / UNIT for i in range(len(NAMES))}
+    size = len(NAMES)
+    mean = {i: F.col(f"s{i}").cast("double") / n / UNIT for i in range(size)}
+    floor = [STATISTICS[name] ** 2 for name in NAMES]
     out = sums.select(
-        *by,
-        "n",
+        "group",
         *[mean[i].alias(f"m{i}") for i in mean],
         *[
-            (
-                (F.col(f"p{i}_{j}").cast("double") / n / UNIT / UNIT - mean[i] * mean[j])
-                + (F.lit(STATISTICS[NAMES[i]] ** 2) if i == j else F.lit(0.0))
-            ).alias(f"c{i}_{j}")
+            (F.col(f"p{i}_{j}").cast("double") / n / UNIT / UNIT - mean[i] * mean[j] + F.lit(floor[i] * (i == j))).alias(
+                f"c{i}_{j}"
+            )
             for i, j in PAIRS
         ],
     )
-    for i, j in PAIRS:  # row by row, as each entry needs those to its left and above
-        rest = F.col(f"c{i}_{j}")
+
+    def rest(i: int, j: int) -> Column:
+        left = F.col(f"c{i}_{j}")
         for k in range(j):
-            rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        least = STATISTICS[NAMES[i]] ** 2
-        entry = F.sqrt(F.greatest(rest, F.lit(least))) if i == j else rest / F.col(f"l{j}_{j}")
-        out = out.withColumn(f"l{i}_{j}", entry)
-    return out.select(*by, "n", *[f"m{i}" for i in range(len(NAMES))], *[f"l{i}_{j}" for i, j in PAIRS])
-
-
-def _distances(rows: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with d2, the squared Mahalanobis distance under the fit of their group."""
-    renamed = fits.select(*[F.col(c).alias("f_" + c) for c in fits.columns])
-    same = None
-    for c in by:
-        test = F.col(c).eqNullSafe(F.col("f_" + c))
-        same = test if same is None else same & test
-    joined = rows.join(renamed, same)
+            left = left - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        return left
+
+    for j in range(size):  # column by column: an entry needs the columns before and its own diagonal
+        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(floor[j]))))
+        below = {f"l{i}_{j}": rest(i, j) / F.col(f"l{j}_{j}") for i in range(j + 1, size)}
+        if below:
+            out = out.withColumns(below)
+    return out.select("group", *[f"m{i}" for i in range(size)], *[f"l{i}_{j}" for i, j in PAIRS])
+
+
+def _distances(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """``rows`` of groups with a fit, with d2, the squared Mahalanobis distance under it."""
+    joined = rows.join(fits, "group")
     total = F.lit(0.0)
     for i, name in enumerate(NAMES):
-        rest = F.col("x_" + name) / UNIT - F.col(f"f_m{i}")
+        rest = F.col("x_" + name) / UNIT - F.col(f"m{i}")
         for k in range(i):
-            rest = rest - F.col(f"f_l{i}_{k}") * F.col(f"y{k}")
-        joined = joined.withColumn(f"y{i}", rest / F.col(f"f_l{i}_{i}"))
+            rest = rest - F.col(f"l{i}_{k}") * F.col(f"y{k}")
+        joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
         total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return joined.withColumn("d2", total).select(*rows.columns, "d2")
+    return joined.select(*rows.columns, total.alias("d2"))
 
 
-def _closest(measured: DataFrame, by: list[str]) -> DataFrame:
+def _closest(measured: DataFrame) -> DataFrame:
     """The rows of each group up to the bin of distances that completes ``SHARE`` of it."""
     binned = measured.withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_UNIT))
-    up_to = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    group = Window.partitionBy(*by)
-    counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("rows_in_bin"))
+    group = Window.partitionBy("group")
+    up_to = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     limits = (
-        counts.withColumn("up_to", F.sum("rows_in_bin").over(up_to))
+        binned.groupBy("group", "bin")
+        .agg(F.count(F.lit(1)).alias("rows_in_bin"))
+        .withColumn("up_to", F.sum("rows_in_bin").over(up_to))
         .withColumn("all_rows", F.sum("rows_in_bin").over(group))
         .where(F.col("up_to") >= F.col("all_rows") * SHARE)
-        .groupBy(*[F.col(c).alias("k_" + c) for c in by])
+        .groupBy("group")
         .agg(F.min("bin").alias("last_bin"))
     )
-    same = None
-    for c in by:
-        test = F.col(c).eqNullSafe(F.col("k_" + c))
-        same = test if same is None else same & test
-    return binned.join(limits, same).where(F.col("bin") <= F.col("last_bin")).select(*measured.columns)
+    return binned.join(limits, "group").where(F.col("bin") <= F.col("last_bin")).select(*measured.columns)
 
 
-def _start(rows: DataFrame, by: list[str]) -> DataFrame:
-    """First fit: medians, and spreads from the quartiles, without correlation."""
-    quartiles = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile("x_" + n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, n in enumerate(NAMES)],
+def _start(rows: DataFrame) -> DataFrame:
+    """First fit: medians, and spreads from the quartiles, without correlation.
+
+    Statistics are whole thousandths, so the exact quartiles count few distinct values a group.
+    """
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = rows.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile("x_" + n, at).alias(f"q{i}") for i, n in enumerate(NAMES)]
     )
-    cols = [*by, "n", *[(F.col(f"q{i}")[1] / UNIT).alias(f"m{i}") for i in range(len(NAMES))]]
-    for i, j in PAIRS:
-        if i == j:
-            spread = (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * UNIT)
-            cols.append(F.greatest(spread, F.lit(STATISTICS[NAMES[i]])).alias(f"l{i}_{j}"))
-        else:
-            cols.append(F.lit(0.0).alias(f"l{i}_{j}"))
-    return quartiles.select(*cols)
-
-
-def robust_fits(rows: DataFrame, by: list[str], steps: int = STEPS) -> DataFrame:
-    """The minimum-covariance-determinant fit of each group of at least ``LEAST_ROWS`` rows."""
-    fits = stored(_start(rows, by).where(F.col("n") >= LEAST_ROWS))
+
+    def factor(i: int, j: int) -> Column:
+        if i != j:
+            return F.lit(0.0)
+        spread = (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * UNIT)
+        return F.greatest(spread, F.lit(STATISTICS[NAMES[i]]))
+
+    return quartiles.where(F.col("n") >= LEAST_ROWS).select(
+        "group",
+        *[(F.col(f"q{i}")[1] / UNIT).alias(f"m{i}") for i in range(len(NAMES))],
+        *[factor(i, j).alias(f"l{i}_{j}") for i, j in PAIRS],
+    )
+
+
+def robust_fits(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """The minimum-covariance-determinant fit of each group with at least ``LEAST_ROWS`` rows."""
+    fits = stored(_start(rows))
     for _ in range(steps):
-        fits = stored(_fit(_sums(_closest(_distances(rows, fits, by), by), by), by))
+        fits = stored(_fit(_sums(_closest(_distances(rows, fits)))))
     return fits
 
 
+def _groups(lang: Column, source: Column) -> list[Column]:
+    """Names of the groups a row belongs to, the finest first. NULL is apart from every text."""
+    named = [F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in (lang, source)]
+    return [F.to_json(F.array(*named)), F.to_json(F.array(named[0])), F.lit("[]")]
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -257,39 +265,34 @@ def judge(
     """
     named = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.col(lang_col).cast("string").alias(OWN + "lang"),
-        F.col(source_col).cast("string").alias(OWN + "source"),
+        F.array(*_groups(F.col(lang_col).cast("string"), F.col(source_col).cast("string"))).alias(OWN + "groups"),
         F.col(text_col).alias(OWN + "text"),
     )
-    keep = ("doc_id", OWN + "lang", OWN + "source")
-    counted = base_counts(named, text_col=OWN + "text", keep=keep)
+    counted = base_counts(named, text_col=OWN + "text", keep=("doc_id", OWN + "groups"))
     rows = stored(counted.select("*", *[value.alias("x_" + name) for name, value in _statistics().items()]))
-    fitted = rows.where("NOT base_failed")
-    levels = ([OWN + "lang", OWN + "source"], [OWN + "lang"], [OWN + "all"])
-    fitted = fitted.withColumn(OWN + "all", F.lit(1))
-    pieces, rest = [rows.where("base_failed").withColumn("d2", F.lit(None).cast("double"))], fitted
-    for by in levels:
-        fits = robust_fits(fitted, by)
-        keys = fits.select(*[F.col(c).alias("g_" + c) for c in by])
-        same = None
-        for c in by:
-            test = F.col(c).eqNullSafe(F.col("g_" + c))
-            same = test if same is None else same & test
-        pieces.append(_distances(rest, fits, by).select(*pieces[0].columns))
-        rest = rest.join(keys, same, "left_anti")
-    pieces.append(rest.withColumn("d2", F.lit(None).cast("double")).select(*pieces[0].columns))
-    judged = pieces[0]
-    for piece in pieces[1:]:
-        judged = judged.union(piece)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
-    return judged.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        F.sqrt("d2").alias("distance"),
-        kept.alias("kept"),
+    sound = rows.where("NOT base_failed")
+    every = sound.select(F.explode(OWN + "groups").alias("group"), *["x_" + n for n in NAMES])
+    fits = robust_fits(every)
+    fitted = fits.select(F.col("group").alias("g"), F.lit(True).alias("has"))
+    # The finest group with a fit; fits are few and short, rows are not moved for them unless they are many.
+    for level in range(3):
+        own = fitted.select(F.col("g").alias(f"g{level}"), F.col("has").alias(f"has{level}"))
+        sound = sound.join(own, F.col(OWN + "groups")[level] == F.col(f"g{level}"), "left")
+    group = F.coalesce(*[F.when(F.col(f"has{k}"), F.col(OWN + "groups")[k]) for k in range(3)], F.lit(""))
+    chosen = sound.withColumn("group", group)
+    empty = F.lit(None).cast("double").alias("d2")
+    names = ["doc_id", *COUNTS, "base_failed"]
+    judged = (
+        rows.where("base_failed")
+        .select(*names, empty)
+        .union(chosen.where("group = ''").select(*names, empty))
+        .union(_distances(chosen.where("group != ''"), fits).select(*names, "d2"))
     )
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
+    return judged.select(*names, F.sqrt("d2").alias("distance"), kept.alias("kept"))
+
+
+def drop_rejected(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows whose id ``judge`` rejects; rows without an id stay."""
+    gone = judge(docs, **options).where("NOT kept").select(F.col("doc_id").alias(OWN + "gone")).distinct()
+    return docs.join(gone, F.col(options.get("id_col", "doc_id")) == F.col(OWN + "gone"), "left_anti")
