@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.llm import bpe, html_text, lines, minhash, mixing, quality, shards
+from farelens.llm import bpe, html_text, lines, minhash, mixing, neighbours, quality, shards
 from farelens.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -24,6 +24,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_text.extract(pages)
@@ -61,15 +66,23 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_mix": op1_mix,
+        "op2_neighbours": op2_neighbours,
         "op3_html": op3_html,
         "op5_quality": op5_quality,
         "op7_bpe": op7_bpe,
         "op8_minhash": op8_minhash,
         "op9_shard": op9_shard,
         "op10_lines": op10_lines,
+        "pipeline": pipeline,
     }
 
 
