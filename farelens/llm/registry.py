@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.llm import bpe, html_text, lines, minhash, mixing, neighbours, quality, shards
+from farelens.llm import bpe, html_text, lines, minhash, mixing, neighbours, passages, quality, repeats, shards
 from farelens.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -34,10 +34,19 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages)
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(documents(spark, sf_dir))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -77,7 +86,9 @@ def queries() -> dict:
         "op1_mix": op1_mix,
         "op2_neighbours": op2_neighbours,
         "op3_html": op3_html,
+        "op4_passages": op4_passages,
         "op5_quality": op5_quality,
+        "op6_repeats": op6_repeats,
         "op7_bpe": op7_bpe,
         "op8_minhash": op8_minhash,
         "op9_shard": op9_shard,
