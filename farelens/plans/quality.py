@@ -189,15 +189,18 @@ def alerts(
     latest pickup). The other arguments are those of :func:`format_errors`.
     """
     date = (_latest_pickup(tables) if as_of is None else as_of).cast("date")
+    # Only their number is asked for, so outliers are counted in the histogram that the fence comes from.
+    fares = value_histogram(tables.fact_trips, F.col("fare_amount"))
+    high = fares.where(F.col("value") > fence(fares)["upper"])
+    one_each = F.count("*").alias("n")
     found = [
-        (MISSING_VALUES, missing_values(tables)),
-        (FORMAT_ERROR, format_errors(tables, raw, column, fmt)),
-        (OUTLIER, outliers(tables)),
-        (DUPLICATE, duplicates(tables)),
+        (MISSING_VALUES, missing_values(tables).agg(one_each)),
+        (FORMAT_ERROR, format_errors(tables, raw, column, fmt).agg(one_each)),
+        (OUTLIER, high.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))),
+        (DUPLICATE, duplicates(tables).agg(one_each)),
     ]
     rows = [
-        cases.agg(F.count("*").alias("n"))
-        .where(F.col("n") > 0)
+        counted.where(F.col("n") > 0)
         .select(
             F.lit(severity).alias("severity"),
             F.lit(kind).alias("type"),
@@ -205,7 +208,7 @@ def alerts(
             F.concat_ws(" ", F.col("n").cast("string"), F.lit(text)).alias("message"),
             date.alias("date"),
         )
-        for (severity, kind, field, text), cases in found
+        for (severity, kind, field, text), counted in found
     ]
     listed = reduce(DataFrame.unionByName, rows)
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))

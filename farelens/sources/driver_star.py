@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,28 +63,23 @@ def stage_raw_pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _staged_raw[path]
 
 
-_staged: dict[tuple, tuple[TripTables, str | None]] = {}
+_staged: dict[tuple, tuple[TripTables, str]] = {}
 _staged_raw: dict[str, DataFrame] = {}
 
 
-def _stage(spark: SparkSession, sf_dir: str) -> tuple[TripTables, str | None]:
+def _stage(spark: SparkSession, sf_dir: str) -> tuple[TripTables, str]:
     version = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir))
     if version not in _staged:
-        tables, root = derive_star(spark, sf_dir), None
-        folder = _shared_folder(spark)
-        if folder is not None:
-            root = f"{folder}/farelens-{version[0]}-{uuid.uuid4().hex}"
-            write_tables(tables, root)
-            tables = load_tables(spark, root)
-        _staged[version] = tables, root
+        root = f"{_shared_folder(spark)}/farelens-{version[0]}-{uuid.uuid4().hex}"
+        write_tables(derive_star(spark, sf_dir), root)
+        _staged[version] = load_tables(spark, root), root
     return _staged[version]
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="farelens-")
-    return folder
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or where that is unset a folder in the warehouse, which is shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_farelens"
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:

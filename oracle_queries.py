@@ -136,7 +136,7 @@ HOURLY = """
 
 PASSENGERS = "SELECT passenger_count, count(trip_id) AS trip_count FROM fact_trips GROUP BY 1"
 
-FLOWS = f"""
+ALL_FLOWS = f"""
     SELECT p.borough AS pickup_borough, d.borough AS dropoff_borough, count(f.trip_id) AS trip_count,
         {mean("f.fare_amount", "avg_fare_amount")}
     FROM fact_trips f
@@ -144,7 +144,9 @@ FLOWS = f"""
     LEFT JOIN dim_location d ON f.dropoff_location_key = d.location_key
     WHERE p.borough IS NOT NULL AND d.borough IS NOT NULL
         AND p.borough NOT IN ('Unknown', '') AND d.borough NOT IN ('Unknown', '')
-    GROUP BY 1, 2 ORDER BY trip_count DESC, 1, 2 LIMIT 100"""
+    GROUP BY 1, 2 ORDER BY trip_count DESC, 1, 2"""
+
+FLOWS = f"{ALL_FLOWS} LIMIT 100"
 
 
 def rollup(period: str) -> str:
@@ -339,6 +341,7 @@ QUERIES = {
         FROM fact_trips f LEFT JOIN dim_location l ON f.pickup_location_key = l.location_key
         GROUP BY l.location_id, l.zone, l.borough""",
     "borough_flows": FLOWS,
+    "borough_flows_top": f"{ALL_FLOWS} LIMIT 10",
     "year_filter": f"SELECT * FROM ({volume()}) WHERE year(date) IN (1996, 1999)",
     "period_rollup_week": rollup("week"),
     "period_rollup_month": rollup("month"),
@@ -367,9 +370,9 @@ QUERIES = {
         FROM ({PASSENGERS})""",
     "paged_table": f"SELECT * FROM ({rollup('month')}) ORDER BY date DESC LIMIT 10 OFFSET 20",
     "flow_page": f"""
-        SELECT * FROM ({FLOWS}) ORDER BY trip_count DESC, pickup_borough, dropoff_borough LIMIT 15 OFFSET 15""",
+        SELECT * FROM ({ALL_FLOWS}) ORDER BY trip_count DESC, pickup_borough, dropoff_borough LIMIT 15 OFFSET 15""",
     "flow_search": f"""
-        SELECT * FROM ({FLOWS}) WHERE lower(pickup_borough) LIKE '%ri%' AND lower(dropoff_borough) LIKE '%as%'""",
+        SELECT * FROM ({ALL_FLOWS}) WHERE lower(pickup_borough) LIKE '%ri%' AND lower(dropoff_borough) LIKE '%as%'""",
     "dq_field_completeness": FIELD_PCT,
     "dq_scorecard": SCORECARD,
     "dq_missing_values": MISSING,
