@@ -54,8 +54,6 @@ def stage_star(spark: SparkSession, sf_dir: str) -> TripTables:
 def stage_raw_pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`raw_pickups`, stored beside the staged tables at its first use."""
     tables, root = _stage(spark, sf_dir)
-    if root is None:
-        return raw_pickups(tables)
     path = f"{root}/raw_pickups"
     if path not in _staged_raw:
         raw_pickups(tables).write.parquet(path)
