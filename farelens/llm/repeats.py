@@ -2,20 +2,29 @@
 
 1. Anchors: in every stretch of 50 bytes the 24-byte gram with the least hash is an anchor. Equal
    stretches choose equal anchors, so all occurrences of a repeated stretch meet at one anchor key.
-2. Keys that occur in one text only are dropped (a grouped minimum and maximum, so no key is hot).
-3. For each key the texts from the anchor on are sorted: a sparse enhanced suffix array. A stack scan
-   over its longest common prefixes gives the interval tree. The members of each interval are scanned
-   the same way by what stands to the left of the anchor: left parts that differ end a repeat. Each
-   node of both trees together is a repeat group with all its occurrences; where left and right reach
-   50 bytes, occurrences in texts after the group's first text are covered.
+   The context of an anchor is the 26 bytes before it and the 50 bytes from it on: no stretch of 50
+   bytes that chose it reaches further.
+2. Anchors travel packed, 17 bytes each, with a fingerprint of the context. A task settles first what
+   meets within its own chunk and sends one anchor a key, so no key is hot. Where a context is met
+   in an earlier text, all of it is covered; keys that occur once are dropped.
+3. Only keys with several contexts are left. Their contexts are sorted: a sparse enhanced suffix array.
+   A stack scan over its longest common prefixes gives the interval tree. The members of each
+   interval are scanned the same way by what stands to the left of the anchor: left parts that differ
+   end a repeat. Each node of both trees together is a repeat group with all its occurrences; where
+   left and right reach 50 bytes, occurrences in texts after the group's first text are covered.
+   Keys with very many contexts, which one task could not hold, are settled by a grouped minimum
+   over their stretches of 50 bytes, with the same outcome.
 4. Covered stretches are merged per text and cut out. Equal texts are settled before all this.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +34,13 @@ from farelens.llm.shingles import mixed
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # places of a gram within a stretch
+LEFT = SPAN - 1  # bytes of a context before its anchor
 PIECE = 256
+CHUNK = 2_000_000  # anchors that a task settles by itself before it sends any
+BUCKET_BYTES = 32 << 20  # text whose anchors meet in one bucket of keys
+MOST_CONTEXTS = 5_000  # of one key in one interval tree; beyond, stretches are grouped instead
+
+OPEN, SURE, MET, SCAN = range(4)  # sent: an anchor, one to be scanned in any case; settled: covered, to be scanned
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -37,51 +52,158 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(reach[: len(reach) - (width - done)], reach[width - done :]) if done < width else reach
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places) of the anchors of one text."""
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, context fingerprints) of the anchors of one text."""
     if len(raw) < LENGTH:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    x = np.frombuffer(raw, np.uint8).astype(np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    x = np.frombuffer(bytes(LEFT) + raw + bytes(LENGTH), np.uint8).astype(np.uint64)
     for shift in (1, 2, 4):
         x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
-    grams = mixed(mixed(mixed(x[:-16]) + x[8:-8]) + x[16:])
+    own = x[LEFT : LEFT + len(raw) - 7]
+    grams = mixed(mixed(mixed(own[:-16]) + own[8:-8]) + own[16:])
     least = _sliding(grams, SPAN, np.minimum)  # one for each stretch
     around = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)])
-    chosen = np.flatnonzero(grams == _sliding(around, SPAN, np.maximum))
-    return grams[chosen], chosen
+    places = np.flatnonzero(grams == _sliding(around, SPAN, np.maximum))
+    # Contexts are padded with zero bytes at the ends of a text, so their lengths count as well.
+    before, after = np.minimum(places, LEFT), np.minimum(len(raw) - places, LENGTH)
+    context = (before * (LENGTH + 1) + after).astype(np.uint64)
+    for start in (*range(0, LEFT + LENGTH - 8, 8), LEFT + LENGTH - 8):
+        context = mixed(context + x[places + start])
+    return grams[places], places, context
+
+
+def _row(bucket: int, kind: int, ids: np.ndarray, keys: np.ndarray, contexts: np.ndarray):
+    return bucket, kind, zlib.compress(np.diff(ids, prepend=0).tobytes(), 1), keys.tobytes(), contexts.tobytes()
+
+
+SENT = "bucket int, kind int, ids binary, keys binary, contexts binary"
+
+
+def _settle(ids, keys, contexts, buckets: int):
+    """Rows of one chunk: what is settled within it, and one anchor of each key for the other chunks."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    alone = new & np.concatenate([new[1:], [True]])
+    some = order[~alone]
+    some = some[np.lexsort((ids[some], contexts[some], keys[some]))]
+    i, k, c = ids[some], keys[some], contexts[some]
+    first_k = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+    first_c = first_k | np.concatenate([[True], c[1:] != c[:-1]])[: len(c)]
+    leader = i[np.flatnonzero(first_c)[np.cumsum(first_c) - 1]] if len(i) else i
+    key_no = np.cumsum(first_k) - 1
+    several = (np.bincount(key_no, first_c) > 1)[key_no] if len(i) else first_k
+    for kind, mask in ((MET, i > leader), (SCAN, several & (i == leader))):
+        at = np.flatnonzero(mask)
+        for n, start in enumerate(range(0, len(at), 50_000)):
+            part = at[start : start + 50_000]
+            part = part[np.argsort(i[part], kind="stable")]
+            yield _row(n % buckets, kind, i[part], k[:0], c[part])
+    for kind, sent in ((OPEN, np.sort(order[alone])), (OPEN, some[first_k & ~several]), (SURE, some[first_k & several])):
+        bucket = (keys[sent] % np.uint64(buckets)).astype(np.int32)
+        by_bucket = np.argsort(bucket, kind="stable")
+        sent, bucket = sent[by_bucket], bucket[by_bucket]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(sent) else []
+        for a, b in zip(edges, [*edges[1:], len(sent)]):
+            part = sent[a:b]
+            yield _row(int(bucket[a]), kind, ids[part], keys[part], contexts[part])
+
+
+def _send(buckets: int):
+    def send(batches):
+        names = ["bucket", "kind", "ids", "keys", "contexts"]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            rows = list(_settle(*[np.concatenate(v) for v in zip(*held)], buckets)) if size else []
+            columns = zip(*rows) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(start, PIECE)
+                for node, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    keys, _, contexts = anchors(text.encode())
+                    contexts, at = np.unique(contexts, return_index=True)
+                    held.append((np.full(len(at), node, np.int64), keys[at], contexts))
+                    size += len(at)
+                    if size >= CHUNK:
+                        yield flush()
+                        held, size = [], 0
+        yield flush()
+
+    return send
+
+
+def _wanted_of(bucket: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, contexts, scan) settled by the anchors that met in one bucket."""
+    ids, keys, contexts, sure = (np.concatenate(v) for v in zip(*bucket))
+    order = np.lexsort((ids, contexts, keys))
+    i, k, c, s = ids[order], keys[order], contexts[order], sure[order]
+    first_k = np.concatenate([[True], k[1:] != k[:-1]])
+    first_c = first_k | np.concatenate([[True], c[1:] != c[:-1]])
+    leader = i[np.flatnonzero(first_c)[np.cumsum(first_c) - 1]]
+    key_no = np.cumsum(first_k) - 1
+    rows, several, any_sure = (np.bincount(key_no, w) for w in (np.ones(len(k)), first_c, s))
+    scan = (i == leader) & ~s & ((several > 1) | (any_sure > 0))[key_no] & (rows > 1)[key_no]
+    met = i > leader
+    chosen = scan | met
+    return i[chosen], c[chosen].view(np.int64), scan[chosen]
+
 
+def _meet(batches):
+    """Rows come sorted by bucket; a bucket may go on in the next batch."""
+    current, held = None, []
+
+    def out(ids, contexts, scan):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(contexts), pa.array(scan)], ["id", "context", "scan"])
 
-def _anchor_keys(batches):
     for batch in batches:
-        for start in range(0, batch.num_rows, PIECE):
-            piece = batch.slice(start, PIECE)
-            ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for node, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                own = np.unique(anchors(text.encode())[0])
-                keys.append(own)
-                ids.append(np.full(len(own), node, np.int64))
-            arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "id"])
-
-
-def _contexts(batches):
-    """From (id, t, keys) the stretch around each anchor whose key is wanted."""
-    names = ["key", "id", "place", "before", "after"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        for bucket, kind, ids, keys, contexts in zip(*[batch.column(n).to_pylist() for n in range(5)]):
+            if bucket != current:
+                if held:
+                    yield out(*_wanted_of(held))
+                current, held = bucket, []
+            ids = np.cumsum(np.frombuffer(zlib.decompress(ids), np.int64))
+            contexts = np.frombuffer(contexts, np.uint64)
+            if kind in (MET, SCAN):
+                yield out(ids, contexts.view(np.int64), np.full(len(ids), kind == SCAN))
+            else:
+                held.append((ids, np.frombuffer(keys, np.uint64), contexts, np.full(len(ids), kind == SURE)))
+    if held:
+        yield out(*_wanted_of(held))
+
+
+PLACED = "id long, start long, end long, key long, before binary, after binary"
+
+
+def _places(batches):
+    """From (id, t, met, scan) the stretches that are covered already and the contexts to be scanned."""
+    names = ["id", "start", "end", "key", "before", "after"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     for batch in batches:
         for start in range(0, batch.num_rows, PIECE):
             piece = batch.slice(start, PIECE)
-            out: list[list] = [[], [], [], [], []]
-            for node, text, wanted in zip(*[piece.column(i).to_pylist() for i in range(3)]):
+            rows = []
+            for node, text, met, scan in zip(*[piece.column(i).to_pylist() for i in range(4)]):
                 raw = text.encode()
-                keys, places = anchors(raw)
-                keys = keys.view(np.int64)
-                keep = np.isin(keys, np.array(wanted, np.int64))
-                for key, place in zip(keys[keep].tolist(), places[keep].tolist()):
-                    before = raw[max(0, place - SPAN + 1) : place][::-1]
-                    for column, value in zip(out, (key, node, place, before, raw[place : place + LENGTH])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+                keys, places, contexts = anchors(raw)
+                contexts = contexts.view(np.int64)
+                covered = places[np.isin(contexts, np.array(met, np.int64))]
+                begin, end = np.maximum(covered - LEFT, 0), np.minimum(covered + LENGTH, len(raw))
+                long = end - begin >= LENGTH
+                begin, end = begin[long], end[long]
+                heads = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(begin) else []
+                for a, b in zip(heads, [*heads[1:], len(begin)]):
+                    rows.append((node, int(begin[a]), int(end[b - 1]), None, None, None))
+                keep = np.isin(contexts, np.array(scan, np.int64))
+                for key, place in zip(keys[keep].view(np.int64).tolist(), places[keep].tolist()):
+                    before = raw[max(0, place - LEFT) : place][::-1]
+                    rows.append((node, place, place, key, before, raw[place : place + LENGTH]))
+            columns = zip(*rows) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -149,14 +271,43 @@ def _scan(batches):
     yield pd.DataFrame(list(_covered(group)), columns=["id", "start", "end"])
 
 
-def covered(texts: DataFrame) -> DataFrame:
+def _grams(batches):
+    """(gram, other, id, place) of each stretch of 50 bytes within the contexts of the batch."""
+    for pdf in batches:
+        rows = []
+        for node, place, before, after in zip(pdf["id"], pdf["start"], pdf["before"], pdf["after"]):
+            whole = bytes(before)[::-1] + bytes(after)
+            for at in range(len(whole) - LENGTH + 1):
+                digest = xxhash.xxh3_128_digest(whole[at : at + LENGTH])
+                halves = int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)
+                rows.append((*halves, node, place - len(before) + at))
+        yield pd.DataFrame(rows, columns=["gram", "other", "id", "start"])
+
+
+def covered(texts: DataFrame, total_bytes: int, *, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(id, spans): the covered stretches of each text that has any. texts: (id, t), all different."""
-    keys = stored(texts.select("id", "t").mapInArrow(_anchor_keys, "key long, id long"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("key")
-    wanted = keys.join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    around = texts.join(wanted, "id").select("id", "t", "keys")
-    met = around.mapInArrow(_contexts, "key long, id long, place long, before binary, after binary")
-    spans = met.repartition("key").sortWithinPartitions("key").mapInPandas(_scan, "id long, start long, end long")
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * max(partitions, -(-total_bytes // BUCKET_BYTES))
+    sent = texts.select("id", "t").mapInArrow(_send(buckets), SENT)
+    settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "id long, context long, scan boolean")
+    wanted = settled.groupBy("id").agg(
+        F.collect_set(F.when(~F.col("scan"), F.col("context"))).alias("met"),
+        F.collect_set(F.when(F.col("scan"), F.col("context"))).alias("scan"),
+    )
+    placed = stored(texts.join(wanted, "id").select("id", "t", "met", "scan").mapInArrow(_places, PLACED))
+    spans = placed.where("key IS NULL").select("id", "start", "end")
+    contexts = placed.where("key IS NOT NULL")
+
+    crowded = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_contexts).select("key")
+    crowded = stored(crowded)
+    few = contexts.join(crowded, "key", "left_anti").select("key", "id", "start", "before", "after")
+    scanned = few.repartition("key").sortWithinPartitions("key").mapInPandas(_scan, "id long, start long, end long")
+    many = contexts.join(crowded, "key", "left_semi").select("id", "start", "before", "after")
+    grams = many.mapInPandas(_grams, "gram long, other long, id long, start long")
+    least = grams.groupBy("gram", "other").agg(F.min("id").alias("least"))
+    repeated = grams.join(least, ["gram", "other"]).where(F.col("id") > F.col("least"))
+    repeated = repeated.select("id", "start", (F.col("start") + LENGTH).alias("end"))
+    spans = spans.union(scanned).union(repeated)
     return spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -183,22 +334,28 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
 
-def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
 
     A byte goes if a string of 50 bytes around it also starts in a row with a smaller doc_id. NULL counts
     as the empty text; rows without an id lose nothing and take nothing from others; rows that share
     an id are not earlier than one another; other columns are ignored; an empty table gives an empty result.
+    ``most_contexts`` bounds what one task sorts at once and never changes the result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    keyed = source.where("id IS NOT NULL").select("id", F.sha2("t", 256).alias("text_key"))
-    firsts = keyed.groupBy("text_key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
+    keyed = source.where("id IS NOT NULL").select("id", F.sha2("t", 256).alias("text_key"), F.octet_length("t").alias("size"))
+    firsts = keyed.groupBy("text_key").agg(
+        F.min("id").alias("leader"), F.max("id").alias("last"), F.max("size").alias("size")
+    )
     firsts = stored(firsts.where("text_key IS NOT NULL"))
     copies = keyed.join(firsts.where("leader != last"), "text_key").where("id != leader")
     copies = stored(copies.select(F.col("id").alias("c_id"), F.col("text_key").alias("c_key")).distinct())
     leaders = source.join(copies, (F.col("id") == F.col("c_id")) & (F.sha2("t", 256) == F.col("c_key")), "left_anti")
     leaders = leaders.where("id IS NOT NULL AND octet_length(t) >= 50")
-    found = stored(covered(leaders))
+    total = firsts.agg(F.sum("size")).first()[0] or 0
+    found = stored(covered(leaders, total, most_contexts=most_contexts))
     joined = (
         source.join(copies, (F.col("id") == F.col("c_id")) & (F.sha2("t", 256) == F.col("c_key")), "left")
         .join(found.select(F.col("id").alias("s_id"), "spans"), F.col("id") == F.col("s_id"), "left")

@@ -198,10 +198,12 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(r["kept"] == (r["doc_id"] % 10 != 0) for r in got)
 
 
-def test_repeats(docs, empty):
+@pytest.mark.parametrize("most, chunk", [(5000, 2_000_000), (1, 2_000_000), (5000, 50), (1, 50)])
+def test_repeats(docs, empty, most, chunk, monkeypatch):
     texts, _ = corpus()
     seen = set()
-    got = {r["doc_id"]: r for r in repeats.cut_repeats(docs).collect()}
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    got = {r["doc_id"]: r for r in repeats.cut_repeats(docs, most_contexts=most).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         grams = [raw[k : k + 50] for k in range(len(raw) - 49)]
