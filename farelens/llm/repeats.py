@@ -4,10 +4,11 @@
    stretches choose equal anchors, so all occurrences of a repeated stretch meet at one anchor key.
    The context of an anchor is the 26 bytes before it and the 50 bytes from it on: no stretch of 50
    bytes that chose it reaches further.
-2. Anchors travel packed, 17 bytes each, with a fingerprint of the context. A task settles first what
-   meets within its own chunk and sends one anchor a key, so no key is hot. Where a context is met
-   in an earlier text, all of it is covered; keys that occur once are dropped.
-3. Only keys with several contexts are left. Their contexts are sorted: a sparse enhanced suffix array.
+2. Anchors travel packed, 15 bytes each: key, fingerprint of the context, and short fingerprints of the
+   37 bytes that end and that begin with the anchor, one of which every stretch holds. A task sends one
+   anchor for each context of its chunk, and one alone for a key with very many, so no key is hot.
+   Where a context is met in an earlier text, all of it is covered.
+3. Contexts that share a half with another context are left. They are sorted: a sparse enhanced suffix array.
    A stack scan over its longest common prefixes gives the interval tree. The members of each
    interval are scanned the same way by what stands to the left of the anchor: left parts that differ
    end a repeat. Each node of both trees together is a repeat group with all its occurrences; where
@@ -35,9 +36,11 @@ LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # places of a gram within a stretch
 LEFT = SPAN - 1  # bytes of a context before its anchor
+HALF = GRAM + LEFT // 2  # a stretch that chose the anchor has so many bytes up to the gram's end, or from it on
 PIECE = 256
 CHUNK = 2_000_000  # anchors that a task settles by itself before it sends any
 BUCKET_BYTES = 32 << 20  # text whose anchors meet in one bucket of keys
+CHUNK_CONTEXTS = 1_000  # of one key in one chunk; beyond, all are scanned and one stands for them elsewhere
 MOST_CONTEXTS = 5_000  # of one key in one interval tree; beyond, stretches are grouped instead
 
 OPEN, SURE, MET, SCAN = range(4)  # sent: an anchor, one to be scanned in any case; settled: covered, to be scanned
@@ -52,10 +55,10 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(reach[: len(reach) - (width - done)], reach[width - done :]) if done < width else reach
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, places, context fingerprints) of the anchors of one text."""
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, 48-bit context fingerprints, two 16-bit fingerprints of halves) of one text's anchors."""
     if len(raw) < LENGTH:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
     x = np.frombuffer(bytes(LEFT) + raw + bytes(LENGTH), np.uint8).astype(np.uint64)
     for shift in (1, 2, 4):
         x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
@@ -67,67 +70,99 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Contexts are padded with zero bytes at the ends of a text, so their lengths count as well.
     before, after = np.minimum(places, LEFT), np.minimum(len(raw) - places, LENGTH)
     context = (before * (LENGTH + 1) + after).astype(np.uint64)
-    for start in (*range(0, LEFT + LENGTH - 8, 8), LEFT + LENGTH - 8):
-        context = mixed(context + x[places + start])
-    return grams[places], places, context
+    context = _hashed(x, places, LEFT + LENGTH, context)
+    ends = _hashed(x, places + LEFT - LEFT // 2, HALF, places.astype(np.uint64) * 0)
+    begins = _hashed(x, places + LEFT, HALF, places.astype(np.uint64) * 0)
+    halves = (ends >> np.uint64(48) << np.uint64(16)) | (begins >> np.uint64(48))
+    return grams[places], places, context >> np.uint64(16), halves.astype(np.uint32)
 
 
-def _row(bucket: int, kind: int, ids: np.ndarray, keys: np.ndarray, contexts: np.ndarray):
-    return bucket, kind, zlib.compress(np.diff(ids, prepend=0).tobytes(), 1), keys.tobytes(), contexts.tobytes()
+def _hashed(x: np.ndarray, starts: np.ndarray, length: int, seed: np.ndarray) -> np.ndarray:
+    """Fingerprints of ``length`` bytes from each start, x holding 8 bytes at every place."""
+    for at in (*range(0, length - 8, 8), length - 8):
+        seed = mixed(seed + x[starts + at] + np.uint64(1))
+    return seed
 
 
-SENT = "bucket int, kind int, ids binary, keys binary, contexts binary"
+def _row(bucket: int, kind: int, ids, keys, contexts, halves):
+    packed = contexts.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    gaps = zlib.compress(np.diff(ids, prepend=0).tobytes(), 1)
+    return bucket, kind, gaps, keys.tobytes(), packed, halves.tobytes()
 
 
-def _settle(ids, keys, contexts, buckets: int):
-    """Rows of one chunk: what is settled within it, and one anchor of each key for the other chunks."""
+SENT = "bucket int, kind int, ids binary, keys binary, contexts binary, halves binary"
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view(np.int64).ravel()
+
+
+def _groups(ids, keys, contexts):
+    """For rows ordered by key, context and id: key number, first row of its context, least id of its context."""
+    first_k = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    first_c = first_k | np.concatenate([[True], contexts[1:] != contexts[:-1]])[: len(keys)]
+    leader = ids[np.flatnonzero(first_c)[np.cumsum(first_c) - 1]] if len(ids) else ids
+    return np.cumsum(first_k) - 1, first_c, leader
+
+
+def _alone(keys) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key, whether the key of each place in that order occurs once)."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    alone = new & np.concatenate([new[1:], [True]])
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])
+    return order, (new[:-1] & new[1:])[: len(keys)]
+
+
+def _settle(ids, keys, contexts, halves, buckets: int):
+    """Rows of one chunk: what is settled within it, and the anchors that other chunks must see."""
+    order, alone = _alone(keys)
     some = order[~alone]
     some = some[np.lexsort((ids[some], contexts[some], keys[some]))]
-    i, k, c = ids[some], keys[some], contexts[some]
-    first_k = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
-    first_c = first_k | np.concatenate([[True], c[1:] != c[:-1]])[: len(c)]
-    leader = i[np.flatnonzero(first_c)[np.cumsum(first_c) - 1]] if len(i) else i
-    key_no = np.cumsum(first_k) - 1
-    several = (np.bincount(key_no, first_c) > 1)[key_no] if len(i) else first_k
-    for kind, mask in ((MET, i > leader), (SCAN, several & (i == leader))):
+    i, c = ids[some], contexts[some]
+    key_no, first_c, leader = _groups(i, keys[some], c)
+    number = np.cumsum(first_c) - np.concatenate([[0], np.cumsum(np.bincount(key_no, first_c))])[key_no] if len(i) else i
+    crowded = (np.bincount(key_no, first_c) > CHUNK_CONTEXTS)[key_no] if len(i) else first_c
+    for kind, mask in ((MET, i > leader), (SCAN, crowded & (i == leader))):
         at = np.flatnonzero(mask)
         for n, start in enumerate(range(0, len(at), 50_000)):
             part = at[start : start + 50_000]
             part = part[np.argsort(i[part], kind="stable")]
-            yield _row(n % buckets, kind, i[part], k[:0], c[part])
-    for kind, sent in ((OPEN, np.sort(order[alone])), (OPEN, some[first_k & ~several]), (SURE, some[first_k & several])):
+            yield _row(n % buckets, kind, i[part], keys[:0].astype(np.uint32), c[part], halves[:0])
+    for kind, sent in (
+        (OPEN, np.sort(np.concatenate([order[alone], some[first_c & ~crowded]]))),
+        (SURE, some[first_c & crowded & (number == 1)]),
+    ):
         bucket = (keys[sent] % np.uint64(buckets)).astype(np.int32)
         by_bucket = np.argsort(bucket, kind="stable")
         sent, bucket = sent[by_bucket], bucket[by_bucket]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(sent) else []
         for a, b in zip(edges, [*edges[1:], len(sent)]):
             part = sent[a:b]
-            yield _row(int(bucket[a]), kind, ids[part], keys[part], contexts[part])
+            short = (keys[part] >> np.uint64(32)).astype(np.uint32)
+            yield _row(int(bucket[a]), kind, ids[part], short, contexts[part], halves[part])
 
 
 def _send(buckets: int):
     def send(batches):
-        names = ["bucket", "kind", "ids", "keys", "contexts"]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["bucket", "kind", "ids", "keys", "contexts", "halves"]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         held: list[tuple] = []
         size = 0
 
         def flush():
             rows = list(_settle(*[np.concatenate(v) for v in zip(*held)], buckets)) if size else []
-            columns = zip(*rows) if rows else [[]] * 5
+            columns = zip(*rows) if rows else [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names)
 
         for batch in batches:
             for start in range(0, batch.num_rows, PIECE):
                 piece = batch.slice(start, PIECE)
                 for node, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    keys, _, contexts = anchors(text.encode())
+                    keys, _, contexts, halves = anchors(text.encode())
                     contexts, at = np.unique(contexts, return_index=True)
-                    held.append((np.full(len(at), node, np.int64), keys[at], contexts))
+                    held.append((np.full(len(at), node, np.int64), keys[at], contexts, halves[at]))
                     size += len(at)
                     if size >= CHUNK:
                         yield flush()
@@ -137,20 +172,34 @@ def _send(buckets: int):
     return send
 
 
+def _shared_half(key_no, half) -> np.ndarray:
+    """Whether another row of the same key has the same half."""
+    order, alone = _alone(key_no.astype(np.uint64) << np.uint64(16) | half)
+    shared = np.empty(len(order), bool)
+    shared[order] = ~alone
+    return shared
+
+
 def _wanted_of(bucket: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, contexts, scan) settled by the anchors that met in one bucket."""
-    ids, keys, contexts, sure = (np.concatenate(v) for v in zip(*bucket))
-    order = np.lexsort((ids, contexts, keys))
-    i, k, c, s = ids[order], keys[order], contexts[order], sure[order]
-    first_k = np.concatenate([[True], k[1:] != k[:-1]])
-    first_c = first_k | np.concatenate([[True], c[1:] != c[:-1]])
-    leader = i[np.flatnonzero(first_c)[np.cumsum(first_c) - 1]]
-    key_no = np.cumsum(first_k) - 1
-    rows, several, any_sure = (np.bincount(key_no, w) for w in (np.ones(len(k)), first_c, s))
-    scan = (i == leader) & ~s & ((several > 1) | (any_sure > 0))[key_no] & (rows > 1)[key_no]
-    met = i > leader
-    chosen = scan | met
-    return i[chosen], c[chosen].view(np.int64), scan[chosen]
+    ids, keys, contexts, halves, sure = (np.concatenate(v) for v in zip(*bucket))
+    order, alone = _alone(keys)
+    some = order[~alone]
+    some = some[np.lexsort((ids[some], contexts[some], keys[some]))]
+    i, c, s = ids[some], contexts[some], sure[some]
+    if not len(i):
+        return i, c, s
+    key_no, first_c, leader = _groups(i, keys[some], c)
+    # Halves are compared between contexts, each seen once; rows of one id and context go together.
+    shared = np.zeros(len(i), bool)
+    of_context = np.cumsum(first_c) - 1
+    h = halves[some][first_c]
+    for half in (h >> np.uint32(16), h & np.uint32(0xFFFF)):
+        shared |= _shared_half(key_no[first_c], half.astype(np.uint64))[of_context]
+    any_sure = (np.bincount(key_no, s) > 0)[key_no]
+    scan = (i == leader) & ~s & (shared | any_sure)
+    chosen = scan | (i > leader)
+    return i[chosen], c[chosen], scan[chosen]
 
 
 def _meet(batches):
@@ -161,17 +210,18 @@ def _meet(batches):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(contexts), pa.array(scan)], ["id", "context", "scan"])
 
     for batch in batches:
-        for bucket, kind, ids, keys, contexts in zip(*[batch.column(n).to_pylist() for n in range(5)]):
+        for bucket, kind, gaps, keys, contexts, halves in zip(*[batch.column(n).to_pylist() for n in range(6)]):
             if bucket != current:
                 if held:
                     yield out(*_wanted_of(held))
                 current, held = bucket, []
-            ids = np.cumsum(np.frombuffer(zlib.decompress(ids), np.int64))
-            contexts = np.frombuffer(contexts, np.uint64)
+            ids = np.cumsum(np.frombuffer(zlib.decompress(gaps), np.int64))
+            contexts = _unpacked(contexts)
             if kind in (MET, SCAN):
-                yield out(ids, contexts.view(np.int64), np.full(len(ids), kind == SCAN))
+                yield out(ids, contexts, np.full(len(ids), kind == SCAN))
             else:
-                held.append((ids, np.frombuffer(keys, np.uint64), contexts, np.full(len(ids), kind == SURE)))
+                keys, halves = np.frombuffer(keys, np.uint32), np.frombuffer(halves, np.uint32)
+                held.append((ids, keys, contexts, halves, np.full(len(ids), kind == SURE)))
     if held:
         yield out(*_wanted_of(held))
 
@@ -189,7 +239,7 @@ def _places(batches):
             rows = []
             for node, text, met, scan in zip(*[piece.column(i).to_pylist() for i in range(4)]):
                 raw = text.encode()
-                keys, places, contexts = anchors(raw)
+                keys, places, contexts, _ = anchors(raw)
                 contexts = contexts.view(np.int64)
                 covered = places[np.isin(contexts, np.array(met, np.int64))]
                 begin, end = np.maximum(covered - LEFT, 0), np.minimum(covered + LENGTH, len(raw))
@@ -294,7 +344,9 @@ def covered(texts: DataFrame, total_bytes: int, *, most_contexts: int = MOST_CON
         F.collect_set(F.when(~F.col("scan"), F.col("context"))).alias("met"),
         F.collect_set(F.when(F.col("scan"), F.col("context"))).alias("scan"),
     )
-    placed = stored(texts.join(wanted, "id").select("id", "t", "met", "scan").mapInArrow(_places, PLACED))
+    # Stored first, so that texts are not shuffled where this side turns out small.
+    placed = texts.join(stored(wanted), "id").select("id", "t", "met", "scan")
+    placed = stored(placed.mapInArrow(_places, PLACED))
     spans = placed.where("key IS NULL").select("id", "start", "end")
     contexts = placed.where("key IS NOT NULL")
 

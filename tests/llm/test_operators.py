@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from farelens.llm import bpe, html_text, lines, minhash, mixing, neighbours, passages, quality, repeats, shards
@@ -198,7 +199,7 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(r["kept"] == (r["doc_id"] % 10 != 0) for r in got)
 
 
-@pytest.mark.parametrize("most, chunk", [(5000, 2_000_000), (1, 2_000_000), (5000, 50), (1, 50)])
+@pytest.mark.parametrize("most, chunk", [(5000, 2_000_000), (5000, 50), (1, 50)])
 def test_repeats(docs, empty, most, chunk, monkeypatch):
     texts, _ = corpus()
     seen = set()
@@ -219,6 +220,23 @@ def test_repeats(docs, empty, most, chunk, monkeypatch):
     assert repeats.cut_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("own", [1, 1000])
+def test_a_crowded_key_of_a_chunk_is_scanned_whole(own, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_CONTEXTS", own)
+    gram = "the same four and twenty bytes, "
+    texts = [f"{i:05d}" * 9 + gram + f"{i % 3:05d}" * 12 for i in range(40)]
+    rows = []
+    for part in (texts[:20], texts[20:]):
+        found = [repeats.anchors(t.encode()) for t in part]
+        ids = np.concatenate([np.full(len(f[0]), texts.index(t)) for f, t in zip(found, part)])
+        columns = [np.concatenate([f[n] for f in found]) for n in (0, 2, 3)]
+        rows += list(repeats._settle(ids, *columns, 4))
+    rows.sort(key=lambda r: r[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows)], [str(n) for n in range(6)])
+    wanted = {i for b in repeats._meet([batch]) for i in b.column(0).to_pylist()}
+    assert wanted >= set(range(3, 40))
+
+
 def test_intervals_of_a_sorted_list():
     got = set(repeats.intervals(sorted([b"abc", b"abd", b"ab", b"b"]), 1))
     assert {(2, 0, 2), (3, 1, 1), (3, 2, 2), (1, 3, 3)} <= got
