@@ -1,8 +1,9 @@
 """Exact distribution figures from a value histogram.
 
-The histogram is a distributed aggregate with one row per distinct value. Ranks are found in two
-steps, first among whole units and then inside the few units that contain a wanted rank, so no
-task ever holds more than the distinct whole units or the distinct values inside one unit.
+The histogram is a distributed aggregate with one row per distinct value. Each value has a place in
+the order of doubles: its power of two and its 53-bit fraction. Ranks are found level by level, first
+among powers of two, then among ever smaller parts of the few that contain a wanted rank, so no window
+ever sees more than a fixed number of rows per wanted rank, whatever the values.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
+LEVELS = (48, 32, 16, 0)  # bits of the fraction that each level leaves open
+NAN_SCALE, INFINITE_SCALE, SCALE_OFFSET = 9_999, 9_998, 1_200
 
 
 def value_histogram(
     df: DataFrame, value: Column, number: Callable[[Column], Column] = lambda v: v
 ) -> DataFrame:
-    """``(value, n, unit)`` for every distinct non-null value, shown as a ``number``.
+    """``(value, n, scale, fraction)`` for every distinct non-null value, shown as a ``number``.
 
-    ``number`` must be one-to-one; it is applied to distinct values only. ``unit`` is the whole part
-    (rounded down) of the value.
+    ``number`` must be one-to-one; it is applied to distinct values only. Values are ordered as their
+    ``(scale, fraction)``; infinities and NaN, which is the greatest, have scales of their own.
     """
     return (
         df.select(value.alias("raw"))
@@ -29,36 +32,47 @@ def value_histogram(
         .groupBy("raw")
         .agg(F.count("*").alias("n"))
         .select(number(F.col("raw")).cast("double").alias("value"), "n")
-        .withColumn("unit", F.floor("value"))
-        # Always true. A join on unit would add it to one side only, and Spark would then not see
+        .withColumns(_order_of(F.col("value")))
+        # Always true. A join on scale would add it to one side only, and Spark would then not see
         # that both sides come from the same histogram and would compute that twice.
-        .where(F.col("unit").isNotNull())
+        .where(F.col("scale").isNotNull() & F.col("fraction").isNotNull())
     )
 
 
+def _order_of(value: Column) -> dict[str, Column]:
+    size = F.abs(value)
+    power = F.floor(F.log2(size)).cast("int")
+    half = F.floor(power / 2).cast("int")
+    # Scaled in two steps, since 2 ** -power alone may overflow. Both steps are exact.
+    scaled = size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power)
+    side = F.signum(value).cast("int")
+    finite = ~F.isnan(value) & (size != float("inf"))
+    return {
+        "scale": F.when(F.isnan(value), NAN_SCALE)
+        .when(~finite, side * INFINITE_SCALE)
+        .when(value == 0, 0)
+        .otherwise(side * (power + SCALE_OFFSET)),
+        "fraction": F.when(finite & (value != 0), side * ((scaled - 1) * float(2**53)).cast("long")).otherwise(
+            F.lit(0).cast("long")
+        ),
+    }
+
+
 def distribution(histogram: DataFrame, fractions: Sequence[float] = QUARTILES) -> DataFrame:
     """One row ``(rows, mean, lowest, highest, quantiles)`` describing a histogram.
 
     ``quantiles`` is an array in the order of ``fractions``; each is interpolated linearly between
     the two neighbouring values. An empty histogram gives zero rows counted and NULL elsewhere.
     """
-    per_unit = histogram.groupBy("unit").agg(
-        F.sum("n").alias("unit_n"),
-        F.sum(F.col("value") * F.col("n")).alias("unit_total"),
-        F.min("value").alias("unit_lowest"),
-        F.max("value").alias("unit_highest"),
-    )
     everything = Window.partitionBy()
-    ranked_units = per_unit.select(
-        "unit",
-        "unit_n",
-        (F.sum("unit_n").over(Window.orderBy("unit")) - F.col("unit_n")).alias("rows_before"),
-        F.sum("unit_n").over(everything).alias("rows"),
-        F.sum("unit_total").over(everything).alias("total"),
-        F.min("unit_lowest").over(everything).alias("lowest"),
-        F.max("unit_highest").over(everything).alias("highest"),
+    first = _parts(histogram, LEVELS[0], []).select(
+        "*",
+        (F.sum("part_n").over(Window.orderBy("scale", "part")) - F.col("part_n")).alias("rows_before"),
+        F.sum("part_n").over(everything).alias("rows"),
+        F.sum("part_total").over(everything).alias("total"),
+        F.min("value").over(everything).alias("lowest"),
+        F.max("part_highest").over(everything).alias("highest"),
     )
-
     last = F.col("rows") - 1
     wanted = F.array(
         *[
@@ -67,27 +81,29 @@ def distribution(histogram: DataFrame, fractions: Sequence[float] = QUARTILES) -
             for side in (F.floor, F.ceil)
         ]
     )
-    in_unit = (
-        ranked_units.withColumn("wanted", F.explode(F.array_distinct(wanted)))
-        .select("*", "wanted.slot", "wanted.rank")
-        .where(F.col("rank").between(F.col("rows_before"), F.col("rows_before") + F.col("unit_n") - 1))
-        .drop("wanted", "unit_n")
-    )
-    upto = Window.partitionBy("slot", "rank").orderBy("value")
-    located = (
-        in_unit.join(histogram, "unit")
-        .withColumn("rows_upto", F.col("rows_before") + F.sum("n").over(upto))
-        .where(F.col("rows_upto") > F.col("rank"))
-        .groupBy("slot", "rank", "rows", "total", "lowest", "highest")
-        .agg(F.min("value").alias("value"))
-    )
+    carried = ["slot", "rank", "rows", "total", "lowest", "highest"]
+    holds_rank = F.col("rank").between(F.col("rows_before"), F.col("rows_before") + F.col("part_n") - 1)
+    located = first.withColumn("wanted", F.explode(F.array_distinct(wanted))).select("*", "wanted.*")
+    located = located.where(holds_rank).select(*carried, "scale", "part", "rows_before", "value")
+    before = Window.partitionBy("slot", "rank").orderBy("part")
+    for above, bits in zip(LEVELS, LEVELS[1:]):
+        # At most two rows per fraction, so this side may always be broadcast.
+        few = F.broadcast(located.withColumnsRenamed({"part": "within", "rows_before": "start"}).drop("value"))
+        inside = histogram.withColumn("within", F.shiftright("fraction", above)).join(few, ["scale", "within"])
+        parts = _parts(inside, bits, [*carried, "start"])
+        so_far = F.col("start") + F.sum("part_n").over(before) - F.col("part_n")
+        located = parts.withColumn("rows_before", so_far).where(holds_rank)
+        located = located.select(*carried, "scale", "part", "rows_before", "value")
 
     quantiles = []
     for i, p in enumerate(fractions):
         low = F.min(F.when(F.col("slot") == i, F.col("value")))
         high = F.max(F.when(F.col("slot") == i, F.col("value")))
         position = F.lit(p) * (F.max("rows") - 1)
-        quantiles.append(low + (position - F.floor(position)) * (high - low))
+        share = position - F.floor(position)
+        infinite = F.abs(low) == float("inf")  # their difference from the next value is not a number
+        between = F.when(infinite, (1 - share) * low + share * high).otherwise(low + share * (high - low))
+        quantiles.append(F.when(low == high, low).otherwise(between))
     return located.agg(
         F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
         (F.max("total") / F.max("rows")).alias("mean"),
@@ -95,3 +111,13 @@ def distribution(histogram: DataFrame, fractions: Sequence[float] = QUARTILES) -
         F.max("highest").alias("highest"),
         F.array(*quantiles).alias("quantiles"),
     )
+
+
+def _parts(histogram: DataFrame, open_bits: int, keys: Sequence[str]) -> DataFrame:
+    """The histogram summed over parts of the order that agree in all but ``open_bits`` bits."""
+    return histogram.groupBy(*keys, "scale", F.shiftright("fraction", open_bits).alias("part")).agg(
+        F.sum("n").alias("part_n"),
+        F.sum(F.col("value") * F.col("n")).alias("part_total"),
+        F.min("value").alias("value"),
+        F.max("value").alias("part_highest"),
+    )
