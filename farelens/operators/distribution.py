@@ -89,7 +89,10 @@ def distribution(histogram: DataFrame, fractions: Sequence[float] = QUARTILES) -
     for above, bits in zip(LEVELS, LEVELS[1:]):
         # At most two rows per fraction, so this side may always be broadcast.
         few = F.broadcast(located.withColumnsRenamed({"part": "within", "rows_before": "start"}).drop("value"))
-        inside = histogram.withColumn("within", F.shiftright("fraction", above)).join(few, ["scale", "within"])
+        # Null-safe, or Spark would add a filter of its own for each level and count the histogram again.
+        few = few.withColumnRenamed("scale", "few_scale")
+        same = F.col("scale").eqNullSafe(F.col("few_scale")) & F.shiftright("fraction", above).eqNullSafe(F.col("within"))
+        inside = histogram.join(few, same)
         parts = _parts(inside, bits, [*carried, "start"])
         so_far = F.col("start") + F.sum("part_n").over(before) - F.col("part_n")
         located = parts.withColumn("rows_before", so_far).where(holds_rank)
