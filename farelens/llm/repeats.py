@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import stored
+from farelens.llm.common import stored, stored_by
 from farelens.llm.shingles import mixed
 
 LENGTH = 50
@@ -40,6 +40,8 @@ HALF = GRAM + LEFT // 2  # a stretch that chose the anchor has so many bytes up
 PIECE = 256
 CHUNK = 2_000_000  # anchors that a task settles by itself before it sends any
 BUCKET_BYTES = 32 << 20  # text whose anchors meet in one bucket of keys
+STORED_BYTES = 8 << 20  # text stored together
+MOST_BUCKETS = 100_000  # that Spark allows by default; beyond, buckets of texts grow
 CHUNK_CONTEXTS = 1_000  # of one key in one chunk; beyond, all are scanned and one stands for them elsewhere
 MOST_CONTEXTS = 5_000  # of one key in one interval tree; beyond, stretches are grouped instead
 
@@ -344,9 +346,9 @@ def covered(texts: DataFrame, total_bytes: int, *, most_contexts: int = MOST_CON
         F.collect_set(F.when(~F.col("scan"), F.col("context"))).alias("met"),
         F.collect_set(F.when(F.col("scan"), F.col("context"))).alias("scan"),
     )
-    # Stored first, so that texts are not shuffled where this side turns out small.
+    # Stored first, so that Spark knows its size.
     placed = texts.join(stored(wanted), "id").select("id", "t", "met", "scan")
-    placed = stored(placed.mapInArrow(_places, PLACED))
+    placed = stored(placed.mapInArrow(_places, PLACED), compression="zstd")
     spans = placed.where("key IS NULL").select("id", "start", "end")
     contexts = placed.where("key IS NOT NULL")
 
@@ -399,19 +401,24 @@ def cut_repeats(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     keyed = source.where("id IS NOT NULL").select("id", F.sha2("t", 256).alias("text_key"), F.octet_length("t").alias("size"))
     firsts = keyed.groupBy("text_key").agg(
-        F.min("id").alias("leader"), F.max("id").alias("last"), F.max("size").alias("size")
+        F.min("id").alias("leader"), F.max("id").alias("last"), F.max("size").alias("size"), F.sum("size").alias("all")
     )
     firsts = stored(firsts.where("text_key IS NOT NULL"))
     copies = keyed.join(firsts.where("leader != last"), "text_key").where("id != leader")
-    copies = stored(copies.select(F.col("id").alias("c_id"), F.col("text_key").alias("c_key")).distinct())
-    leaders = source.join(copies, (F.col("id") == F.col("c_id")) & (F.sha2("t", 256) == F.col("c_key")), "left_anti")
-    leaders = leaders.where("id IS NOT NULL AND octet_length(t) >= 50")
-    total = firsts.agg(F.sum("size")).first()[0] or 0
-    found = stored(covered(leaders, total, most_contexts=most_contexts))
-    joined = (
-        source.join(copies, (F.col("id") == F.col("c_id")) & (F.sha2("t", 256) == F.col("c_key")), "left")
-        .join(found.select(F.col("id").alias("s_id"), "spans"), F.col("id") == F.col("s_id"), "left")
-        .select("id", "t", F.col("c_id").isNotNull().alias("copy"), "spans")
+    # Rows that share an id may have several texts, so an id alone does not tell a copy.
+    copies = stored(copies.groupBy(F.col("id").alias("c_id")).agg(F.collect_set("text_key").alias("c_keys")))
+    total, every = firsts.agg(F.sum("size"), F.sum("all")).first()
+    # Three joins need the texts, which are shuffled once for all of them.
+    buckets = min(max(1, -(-(every or 0) // STORED_BYTES)), MOST_BUCKETS)
+    texts = stored_by(source.where("id IS NOT NULL"), "id", buckets)
+    known = F.coalesce(F.array_contains("c_keys", F.sha2("t", 256)), F.lit(False))
+    marked = texts.join(copies, F.col("id") == F.col("c_id"), "left").select("id", "t", known.alias("copy"))
+    leaders = marked.where("NOT copy AND octet_length(t) >= 50")
+    found = stored(covered(leaders, total or 0, most_contexts=most_contexts))
+    joined = marked.join(found.select(F.col("id").alias("s_id"), "spans"), F.col("id") == F.col("s_id"), "left")
+    alone = source.where("id IS NULL").select(
+        "id", "t", F.lit(False).alias("copy"), F.lit(None).cast(found.schema["spans"].dataType).alias("spans")
     )
-    made = joined.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    made = joined.select("id", "t", "copy", "spans").union(alone).mapInArrow(_cut, cut)
     return made.withColumnRenamed("id", "doc_id")
