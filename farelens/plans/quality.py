@@ -73,12 +73,14 @@ def format_errors(
         lost = tables.fact_trips.where(F.col("tpep_pickup_datetime").isNull())
         return lost.select("trip_id", F.lit(None).cast("string").alias("raw_value"))
     text = F.col(column)
+    return raw.where(text.isNotNull() & ~_parses(text, fmt)).select("trip_id", text.alias("raw_value"))
+
+
+def _parses(text: Column, fmt: str) -> Column:
     if fmt == TIMESTAMP_FORMAT:
         # The same test as below for this one format, at a tenth of its cost.
-        parsed = text.rlike(TIMESTAMP_SHAPE) & text.try_cast("timestamp_ntz").isNotNull()
-    else:
-        parsed = F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
-    return raw.where(text.isNotNull() & ~parsed).select("trip_id", text.alias("raw_value"))
+        return text.rlike(TIMESTAMP_SHAPE) & text.try_cast("timestamp_ntz").isNotNull()
+    return F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
 
 
 def fence(histogram: DataFrame) -> Column:
@@ -105,21 +107,33 @@ def _occurrences(tables: TripTables) -> DataFrame:
     return tables.fact_trips.groupBy("trip_id").agg(F.count("*").alias("occurrences"))
 
 
-def scorecard(tables: TripTables, as_of: Column | None = None) -> DataFrame:
+def scorecard(
+    tables: TripTables,
+    as_of: Column | None = None,
+    raw: DataFrame | None = None,
+    column: str = "pickup_datetime",
+    fmt: str = TIMESTAMP_FORMAT,
+) -> DataFrame:
     """``(dimension, score, target)``: six quality scores in percent.
 
-    Timeliness looks back 30 days from ``as_of`` (default: the latest pickup).
+    Timeliness looks back 30 days from ``as_of`` (default: the latest pickup). Validity is the share of
+    ``raw`` texts that parse, all others being :func:`format_errors`; without ``raw`` it is the share of
+    trips with both times.
     """
     fact = tables.fact_trips
     pickup, dropoff = F.col("tpep_pickup_datetime"), F.col("tpep_dropoff_datetime")
     until = _latest_pickup(tables) if as_of is None else as_of.cast("timestamp_ntz")
     fresh = pickup.between(until - F.expr(f"INTERVAL '{FRESH_DAYS}' DAY"), until)
     complete = [_percent(F.count(c), F.count("*")) for c in COMPLETENESS_FIELDS.values()]
-    one_scan = fact.agg(
-        (reduce(add, complete) / F.lit(len(complete))).alias("Complétude"),
-        _percent(F.count_if(pickup.isNotNull() & dropoff.isNotNull()), F.count("*")).alias("Validité"),
-        _percent(F.count_if(fresh), F.count(pickup)).alias("Actualité"),
-    ).unpivot([], ["Complétude", "Validité", "Actualité"], "dimension", "score")
+    from_fact = {
+        "Complétude": reduce(add, complete) / F.lit(len(complete)),
+        "Actualité": _percent(F.count_if(fresh), F.count(pickup)),
+    }
+    if raw is None:
+        from_fact["Validité"] = _percent(F.count_if(pickup.isNotNull() & dropoff.isNotNull()), F.count("*"))
+    one_scan = fact.agg(*[score.alias(name) for name, score in from_fact.items()]).unpivot(
+        [], list(from_fact), "dimension", "score"
+    )
 
     histogram = value_histogram(fact, F.col("fare_amount"))
     bounds = fence(histogram)
@@ -133,6 +147,9 @@ def scorecard(tables: TripTables, as_of: Column | None = None) -> DataFrame:
             _percent(F.sum(F.when(inside, F.col("n")).otherwise(0)), F.sum("n")).alias("score")
         ),
     }
+    if raw is not None:
+        text = F.col(column)
+        own_scans["Validité"] = raw.agg(_percent(F.count_if(_parses(text, fmt)), F.count(text)).alias("score"))
     scores = one_scan
     for name, score in own_scans.items():
         scores = scores.unionByName(score.select(F.lit(name).alias("dimension"), "score"))

@@ -235,12 +235,14 @@ OUTLIERS = outliers("fare_amount")
 
 DUPLICATES = "SELECT trip_id, count(*) AS occurrences FROM fact_trips GROUP BY 1 HAVING count(*) > 1"
 
-FORMAT_ERRORS = """
-    SELECT trip_id, pickup_datetime AS raw_value FROM (
+RAW_PICKUPS = """
         SELECT trip_id, CASE WHEN trip_id % 29 = 0 THEN NULL WHEN trip_id % 23 = 0 THEN 'n/a'
             WHEN trip_id % 19 = 0 THEN strftime(tpep_pickup_datetime, '%d/%m/%Y %H:%M')
             ELSE strftime(tpep_pickup_datetime, '%Y-%m-%d %H:%M:%S') END AS pickup_datetime
-        FROM fact_trips)
+        FROM fact_trips"""
+
+FORMAT_ERRORS = f"""
+    SELECT trip_id, pickup_datetime AS raw_value FROM ({RAW_PICKUPS})
     WHERE pickup_datetime IS NOT NULL AND try_strptime(pickup_datetime, '%Y-%m-%d %H:%M:%S') IS NULL"""
 
 MISSING = "SELECT trip_id FROM fact_trips WHERE passenger_count IS NULL"
@@ -255,10 +257,16 @@ CONSISTENT = """
     AND (f.payment_type_key IS NULL OR f.payment_type_key IN (SELECT payment_type_key FROM dim_payment_type))
     AND (f.vendor_key IS NULL OR f.vendor_key IN (SELECT vendor_key FROM dim_vendor))"""
 
-SCORECARD = f"""
+VALIDITY = """100e0 * count_if(tpep_pickup_datetime IS NOT NULL
+        AND tpep_dropoff_datetime IS NOT NULL) / nullif(count(*), 0), 98e0 FROM fact_trips"""
+RAW_VALIDITY = f"""100e0 * count(try_strptime(pickup_datetime, '%Y-%m-%d %H:%M:%S'))
+        / nullif(count(pickup_datetime), 0), 98e0 FROM ({RAW_PICKUPS})"""
+
+
+def scorecard(validity: str) -> str:
+    return f"""
     SELECT 'Complétude' AS dimension, ({MEAN_PCT}) / 7 AS score, 99e0 AS target FROM fact_trips
-    UNION ALL SELECT 'Validité', 100e0 * count_if(tpep_pickup_datetime IS NOT NULL
-        AND tpep_dropoff_datetime IS NOT NULL) / nullif(count(*), 0), 98e0 FROM fact_trips
+    UNION ALL SELECT 'Validité', {validity}
     UNION ALL SELECT 'Unicité', 100e0 * count(DISTINCT trip_id) / nullif(count(*), 0), 100e0 FROM fact_trips
     UNION ALL SELECT 'Cohérence', 100e0 * count_if({CONSISTENT}) / nullif(count(*), 0), 95e0 FROM fact_trips f
     UNION ALL SELECT 'Actualité', 100e0 * count_if(tpep_pickup_datetime BETWEEN until - interval 30 day AND until)
@@ -267,6 +275,7 @@ SCORECARD = f"""
     UNION ALL SELECT 'Précision', 100e0 * count_if(fare_amount BETWEEN (SELECT lower FROM ({FENCE}))
         AND (SELECT upper FROM ({FENCE}))) / nullif(count(fare_amount), 0), 95e0 FROM fact_trips"""
 
+
 ALERTS = f"""
     SELECT cast(row_number() OVER (ORDER BY rank, type) AS int) AS id, severity, type, field, message, date
     FROM (
@@ -374,7 +383,8 @@ QUERIES = {
     "flow_search": f"""
         SELECT * FROM ({ALL_FLOWS}) WHERE lower(pickup_borough) LIKE '%ri%' AND lower(dropoff_borough) LIKE '%as%'""",
     "dq_field_completeness": FIELD_PCT,
-    "dq_scorecard": SCORECARD,
+    "dq_scorecard": scorecard(VALIDITY),
+    "dq_scorecard_raw": scorecard(RAW_VALIDITY),
     "dq_missing_values": MISSING,
     "dq_format_errors": FORMAT_ERRORS,
     "dq_outliers": OUTLIERS,

@@ -43,6 +43,17 @@ def test_validity_and_uniqueness(make_tables):
     assert got["Unicité"] == 75.0
 
 
+def test_validity_of_raw_texts_agrees_with_the_format_errors(spark, make_tables):
+    texts = ["2024-05-01 10:00:00", "01/05/2024 10:00", None, "", "2024-05-02 10:00:00", "soon"]
+    raw = spark.createDataFrame(list(enumerate(texts)), "trip_id long, pickup_datetime string")
+    t = make_tables([ride(trip_id=i) for i in range(6)])
+    errors = quality.format_errors(t, raw).count()
+    assert scores(t, raw=raw)["Validité"] == 40.0 == 100 * (1 - errors / 5)
+    assert scores(t, raw=raw, fmt="dd/MM/yyyy HH:mm")["Validité"] == 20.0
+    assert scores(t, raw=raw.limit(0))["Validité"] is None
+    assert [r[0] for r in rows(quality.scorecard(t, raw=raw))] == list(quality.TARGETS)
+
+
 def test_timeliness_looks_back_thirty_days(make_tables):
     ages = [0, 29, 30, 30.001, 45]
     t = make_tables([{"pickup": NOON - dt.timedelta(days=age)} for age in ages] + [{}])

@@ -12,8 +12,10 @@ import __spark_entry__ as registry
 from tests.conftest import TESTDATA
 
 SF_DIR = os.environ.get("FARELENS_SF_DIR", TESTDATA)
-QUERIES = registry.queries()
-ORACLE = registry.oracle_sql()
+# The corpus queries, where present, have tests of their own.
+CORPUS = registry.llm_queries.queries().keys() if registry.llm_queries else set()
+QUERIES = {name: query for name, query in registry.queries().items() if name not in CORPUS}
+ORACLE = {name: sql for name, sql in registry.oracle_sql().items() if name not in CORPUS}
 
 
 @pytest.fixture(scope="module")
