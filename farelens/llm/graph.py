@@ -1,8 +1,8 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table by alternating large-star and small-star steps; pivots of buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelens.llm.common import stored
@@ -39,3 +39,37 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+MOST_PIVOTS = 256  # of a bucket in one round
+
+
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (key, id and more) in buckets that hold more than one component, with their present
+    root and ``big``, the component that has most members of the bucket."""
+    placed = (
+        members.drop("root", "big")
+        .join(roots.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("root", F.coalesce("root", "id"))
+    )
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        counts.groupBy("key")
+        .agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.struct("n", "root"))["root"].alias("big"))
+        .where("a != b")
+    )
+    return placed.join(mixed.select("key", "big"), "key")
+
+
+def pivots(members: DataFrame, attempt: int, order: list[str]) -> DataFrame:
+    """The next pivots of each bucket: one in the first round, twice as many in each later one.
+
+    Members of a bucket's largest component come last: once the others have all been pivots, only one
+    component is left. Buckets draw independently. Spark cuts the ranked rows before it shuffles them.
+    """
+    if attempt == 0:
+        first = Window.partitionBy("key").orderBy("id", *order)
+    else:
+        first = Window.partitionBy("key").orderBy(F.col("root") == F.col("big"), F.xxhash64("key", "id"), "id", *order)
+    ranked = members.withColumn("place", F.row_number().over(first))
+    return ranked.where(F.col("place") <= min(2**attempt, MOST_PIVOTS)).drop("place")

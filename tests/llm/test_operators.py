@@ -251,6 +251,25 @@ def test_passages(docs, empty):
     assert passages.near_passages(empty).count() == 0
 
 
+def drawn_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def test_passages_meet_past_smaller_documents_with_a_part(spark):
+    rng = random.Random(11)
+    texts, pairs = [], []
+    for _ in range(10):
+        passage = drawn_words(rng, 55)
+        parts = [passage[at : at + 48] for at in (0, 4, 7)]
+        texts += [drawn_words(rng, 60) + part + drawn_words(rng, 60) for part in parts]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [drawn_words(rng, 70) + passage + drawn_words(rng, 70) for _ in range(2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(min(r["doc_id"], r["other_id"]), max(r["doc_id"], r["other_id"])) for r in found} == set(pairs)
+    assert all(r["n_words"] == 55 and r["start_word"] == 70 for r in found)
+
+
 def test_compact_windows_group_every_run():
     hashes = np.random.default_rng(1).integers(0, 1000, 60)
     found = passages.compact_windows(hashes, 5)
