@@ -270,6 +270,21 @@ def test_passages_meet_past_smaller_documents_with_a_part(spark):
     assert all(r["n_words"] == 55 and r["start_word"] == 70 for r in found)
 
 
+def test_alignment_bridges_what_stays_similar():
+    rng = random.Random(12)
+    codes = lambda ws: passages.shingle_codes(passages.word_codes(" ".join(ws)))
+    passage, phrase = drawn_words(rng, 70), drawn_words(rng, 5)
+    passage[10:15] = passage[45:50] = phrase
+    a, b = codes(passage), codes(drawn_words(rng, 20) + phrase + drawn_words(rng, 20) + passage)
+    assert passages._aligned(a, b) == [(0, 65, 45, 110, 1.0)]
+    passage, far = drawn_words(rng, 90), drawn_words(rng, 60)
+    (found,) = passages._aligned(codes(passage), codes(passage[:45] + far[:12] + passage[45:]))
+    assert found[:4] == (0, 85, 0, 97) and found[4] == pytest.approx(82 / 102)
+    assert passages._aligned(codes(passage), codes(passage[:45] + far + passage[45:])) == []
+    half = codes(passage[:49])
+    assert passages._aligned(half, half) == []
+
+
 def test_compact_windows_group_every_run():
     hashes = np.random.default_rng(1).integers(0, 1000, 60)
     found = passages.compact_windows(hashes, 5)
