@@ -4,10 +4,12 @@
    range is cut into bins, each bin keeps its least value, and an empty bin borrows the value of a
    full one found by a fixed random walk (optimal densification).
 2. Rows with equal sets are one class; only the row with the smallest id goes on.
-3. Each band of the signature is a bucket key. A bucket offers edges from one pivot to its members
-   and never pairs of members, so edges grow with the rows. The first pivot is the smallest id.
+3. Each band of the signature is a bucket key. A bucket offers edges from its pivots to members of
+   other components. The first pivot is the smallest id.
 4. Offered edges are confirmed on the full sets. Members of a bucket that are still in different
-   components meet again under further pivots, until these find no new link.
+   components meet again under further pivots, until each bucket is one component or all its members
+   have been pivot. So a bucket of one component, however large, costs one edge a row; only members
+   that stay unlinked are compared with each other.
 5. Components of the confirmed links give each row the smallest id it reaches.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farelens.llm.common import stored
-from farelens.llm.graph import components
+from farelens.llm.graph import components, open_members, pivots
 from farelens.llm.shingles import mixed, overlap, shingle_set
 
 BANDS = 32
@@ -29,7 +31,6 @@ ROWS = 4  # at similarity 0.75 a pair misses all bands with probability 5e-6
 BINS = BANDS * ROWS
 PROBES = 64
 SIMILARITY = 75  # per cent
-LEAST_ROUNDS = 2
 PIECE = 256
 
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -122,37 +123,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     return with_texts.mapInPandas(run, "u long, v long")
 
 
-def _star_edges(members: DataFrame, attempt: int) -> DataFrame:
-    """Edges from each bucket's pivot to its members in other components. members: (key, id, root)."""
-    if attempt == 0:
-        order = F.struct(F.lit(0).alias("o"), "id", "root")
-    else:
-        order = F.struct(F.xxhash64(F.lit(attempt), "id").alias("o"), "id", "root")
-    pivots = (
-        members.groupBy("key")
-        .agg(F.min(order).alias("pivot"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select(
-            F.col("key").alias("k"), F.col("pivot")["id"].alias("pivot_id"), F.col("pivot")["root"].alias("pivot_root")
-        )
-    )
-    offered = members.join(pivots, F.col("key") == F.col("k")).where(F.col("root") != F.col("pivot_root"))
+def _star_edges(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edges from each bucket's pivots to its members in other components. Both: (key, id, root)."""
+    centres = chosen.select("key", F.col("id").alias("pivot_id"), F.col("root").alias("pivot_root"))
+    offered = members.join(centres, "key").where("root != pivot_root")
     return offered.select(F.greatest("id", "pivot_id").alias("u"), F.least("id", "pivot_id").alias("v")).distinct()
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their present roots, in buckets that hold more than one component."""
-    placed = (
-        members.select("key", "id")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", F.coalesce("root", "id").alias("root"))
-    )
-    mixed_keys = (
-        placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    )
-    return placed.join(mixed_keys, "key", "left_semi")
-
-
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY
 ) -> DataFrame:
@@ -183,22 +160,20 @@ def near_duplicates(
     links = copies
     tested = None
     attempt, roots = 0, None
-    while True:
-        offered = _star_edges(members, attempt)
+    while roots is None or not members.isEmpty():
+        chosen = stored(pivots(members, attempt, []))
+        offered = _star_edges(members, chosen)
         if tested is not None:
             offered = offered.join(tested, ["u", "v"], "left_anti")
         offered = stored(offered)
         found = stored(_similar(offered, texts, similarity))
-        fresh = not found.isEmpty()
-        if fresh or roots is None:
+        if roots is None or not found.isEmpty():
             links = links.union(found)
             roots = stored(components(links))
-        elif attempt >= LEAST_ROUNDS:
-            break
         tested = offered if tested is None else tested.union(offered)
-        members = stored(_open_members(members, roots))
-        if members.isEmpty():
-            break
+        # A pivot has met all others of its bucket and leaves it.
+        left = members.join(chosen.select("key", "id"), ["key", "id"], "left_anti")
+        members = stored(open_members(left, roots))
         attempt += 1
     return (
         rows.join(roots.withColumnRenamed("node", "id"), "id", "left")

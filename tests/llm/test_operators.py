@@ -173,6 +173,25 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_made_of_shared_passages(spark):
+    rng = random.Random(21)
+    parts = [" ".join(drawn_words(rng, 30)) for _ in range(16)]
+    taken = [sorted(rng.sample(range(16), 8)) for _ in range(400)]
+    texts = [" ".join(parts[k] for k in chosen) for chosen in taken]
+    ids = {}
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({ids.setdefault(tuple(w[i : i + 5]), len(ids)) for i in range(len(w) - 4)})
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    want = components_of(pairs, range(len(sets)))
+    assert len(set(want.values())) > 10
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table).collect()}
+    assert got == want
+
+
 def test_quality_counts(docs, empty):
     texts, _ = corpus()
     for r in quality.judge(docs).collect():
