@@ -2,7 +2,7 @@
 
 Within each (language, source) group the transformed statistics of the texts that pass the base rule
 are fitted by the minimum covariance determinant: the three quarters of the rows that lie closest
-to the centre give mean and covariance, and concentration steps repeat this until it settles. A row
+to the centre give mean and covariance, and concentration steps repeat this until no fit changes. A row
 is rejected if its squared Mahalanobis distance is above a chi-squared quantile.
 
 - All sums are taken over whole numbers (statistics in units of 1/1000), so they do not depend on the order of
@@ -28,13 +28,13 @@ STATISTICS = {
     "word_chars": 0.4,  # mean code points of a word
     "symbols": 0.01,  # share of symbols among the code points of words
     "shouts": 0.01,  # share of ! and ? among them
+    "capitals": 0.05,  # share of upper-case letters among them, of any script
     "copied_lines": 0.10,  # share of lines that repeat an earlier one
     "repeats": 0.05,  # share of words in repeated windows
 }
 SHARE = 0.75  # of the rows of a group that a fit is made from
-STEPS = 3
 LEAST_ROWS = 60
-CUTOFF = 40.0  # squared distance; chi-squared with 6 degrees of freedom exceeds it once in 2 million
+CUTOFF = 42.0  # squared distance; chi-squared with 7 degrees of freedom exceeds it once in 2 million
 BINS_PER_UNIT = 20  # of the log of squared distances
 WINDOW_WORDS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -91,7 +91,8 @@ def _covered(places: Column) -> Column:
 
 def base_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and for each row n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, plus the counts of lines with a word and of ``!?`` for the fit. NULL counts as the empty text.
+    base_failed, plus the counts of lines with a word, of ``!?`` and of capitals for the fit. NULL counts as the empty
+    text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
@@ -106,6 +107,7 @@ def base_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...
         .cast("long")
         .alias("n_dup_lines"),
         (F.length(text) - F.length(_without(text, "!?"))).cast("long").alias(OWN + "shouts"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long").alias(OWN + "capitals"),
     ).select(
         *keep,
         F.size(OWN + "words").cast("long").alias("n_words"),
@@ -113,7 +115,7 @@ def base_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...
         "n_symbols",
         "n_dup_lines",
         repeated_words(F.col(OWN + "words")).alias("n_repeat_words"),
-        *[OWN + c for c in ("lines", "shouts")],
+        *[OWN + c for c in ("lines", "shouts", "capitals")],
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
@@ -130,6 +132,7 @@ def _statistics() -> dict[str, Column]:
         "word_chars": share("word_chars", "n_words"),
         "symbols": share("n_symbols", "word_chars"),
         "shouts": share(OWN + "shouts", "word_chars"),
+        "capitals": share(OWN + "capitals", "word_chars"),
         "copied_lines": share("n_dup_lines", OWN + "lines"),
         "repeats": share("n_repeat_words", "n_words"),
     }
@@ -233,12 +236,25 @@ def _start(rows: DataFrame) -> DataFrame:
     )
 
 
-def robust_fits(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The minimum-covariance-determinant fit of each group with at least ``LEAST_ROWS`` rows."""
+def step(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """One concentration step: the fits of the rows that are closest under ``fits``."""
+    return _fit(_sums(_closest(_distances(rows, fits))))
+
+
+def robust_fits(rows: DataFrame) -> DataFrame:
+    """The minimum-covariance-determinant fit of each group with at least ``LEAST_ROWS`` rows.
+
+    Steps end when they lead to fits that were there before, which is when no fit changes any more, or
+    when fits alternate: rows are taken by bins of distances, so a group can go round a few sets of rows.
+    """
     fits = stored(_start(rows))
-    for _ in range(steps):
-        fits = stored(_fit(_sums(_closest(_distances(rows, fits)))))
-    return fits
+    seen = set()
+    while True:
+        state = fits.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*fits.columns).cast("decimal(38,0)"))).first()
+        if tuple(state) in seen:
+            return fits
+        seen.add(tuple(state))
+        fits = stored(step(rows, fits))
 
 
 def _groups(lang: Column, source: Column) -> list[Column]:

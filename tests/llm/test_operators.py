@@ -218,6 +218,25 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(r["kept"] == (r["doc_id"] % 10 != 0) for r in got)
 
 
+def test_quality_rejects_shouted_texts_and_settles(spark):
+    rng = random.Random(6)
+
+    def text(i):
+        drawn = [rng.choice("abcdefgéäж") + "".join(rng.choice("abcdefgéäж") for _ in range(rng.randint(2, 6))) for _ in range(80)]
+        return " ".join(drawn).upper() if i % 10 == 0 else ". ".join(" ".join(drawn[k : k + 8]).capitalize() for k in range(0, 80, 8))
+
+    texts = [text(i) for i in range(200)]
+    table = spark.createDataFrame([(i, t, "en", "s", 0, "", "") for i, t in enumerate(texts)], SCHEMA)
+    assert all(r["kept"] == (r["doc_id"] % 10 != 0) for r in quality.judge(table).collect())
+    counts = quality.base_counts(table)
+    for r in counts.collect():
+        assert r["_q_capitals"] == sum(c.isupper() for c in texts[r["doc_id"]])
+    noise = np.random.default_rng(4).normal(0, 100, (300, len(quality.NAMES))).round().astype(int).tolist()
+    rows = spark.createDataFrame([("g", *x) for x in noise], ["group", *["x_" + n for n in quality.NAMES]])
+    fits = quality.robust_fits(rows)
+    assert quality.step(rows, fits).collect() == fits.collect()
+
+
 @pytest.mark.parametrize("most, chunk", [(5000, 2_000_000), (5000, 50), (1, 50)])
 def test_repeats(docs, empty, most, chunk, monkeypatch):
     texts, _ = corpus()
