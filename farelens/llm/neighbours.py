@@ -43,14 +43,14 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _nodes(rows: DataFrame, k: int) -> DataFrame:
-    """(node, id, vec): the k + 1 smallest ids of each different vector, node being the smallest.
+    """(node, id, vec): the k + 1 smallest different ids of each different vector, node being the smallest.
 
     More copies of a vector can never be among the k nearest, so a vector that a third of the rows
     share is one node; Spark cuts the ranked rows before it shuffles them.
     """
     by_id = Window.partitionBy("vec").orderBy("id")
-    first = rows.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1).drop("place")
-    return first.distinct().withColumn("node", F.min("id").over(Window.partitionBy("vec")))
+    first = rows.distinct().withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1).drop("place")
+    return first.withColumn("node", F.min("id").over(Window.partitionBy("vec")))
 
 
 def _direction(seed: int, dims: int) -> np.ndarray:

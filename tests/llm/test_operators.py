@@ -354,6 +354,15 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_repeated_vectors_take_no_places(spark):
+    x = np.random.default_rng(3).standard_normal((30, 4)).round(3)
+    x[:15] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(0, x[0].tolist())] * 12
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = neighbours.nearest_neighbours(table, table.where("vec_id = 3")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(11) if i != 3]
+
+
 def test_html(spark):
     page = """<html><head><title>t</title><script>var a = "</p>";</script></head><body><nav><a href=x>Home</a></nav>
     <div class="cookie-notice">We use cookies to make the site better for you and for all of the others</div>
