@@ -2,9 +2,13 @@
 
 A page is cut into blocks at block-level tags. First pass: stop-word density, length and link density
 make each block good, bad, near-good or short. Second pass: short blocks take the label of the nearest
-decided neighbours (good only between good ones, or beside one inside the article), near-good ones
-need one good neighbour. Blocks inside elements that never hold the article (menus, footers, forms,
-scripts, adverts, comments and the like) are bad from the start.
+decided neighbours (good only between good ones), near-good ones need one good neighbour. Where
+<article> and <main> hold most of the good text, short and near-good blocks inside them are kept, and
+blocks outside inherit nothing from inside; otherwise these tags say nothing.
+
+Blocks inside elements that never hold the article (menus, footers, forms, scripts and the like) are
+bad from the start. Class and id names are weaker evidence: what they mark is bad unless it turns out
+to hold most of the page's good text.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ SOME_STOP_WORDS = 0.08
 MANY_LINKS = 0.33
 
 # Tags by their role.
-RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "math", "select", "object", "canvas")
-NEVER_ARTICLE = frozenset("nav header footer aside form button dialog menu head fieldset figcaption".split())
+RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "annotation", "annotation-xml", "select", "object", "canvas")
+NEVER_ARTICLE = frozenset("nav header footer aside form button dialog menu head fieldset".split())
 ARTICLE = frozenset(("article", "main"))
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -46,6 +50,10 @@ NOT_ARTICLE = frozenset(
     "subscribe newsletter share sharing social related recommended widget pagination pager copyright legal disclaimer "
     "skip search hidden".split()
 )
+# What readers say can be longer than the article and reads like it: these names count as whole ones.
+READERS = frozenset("comment comments reply replies respond disqus discussion".split())
+# These before a word say how the page is laid out, not what the element is.
+LAYOUT = frozenset("has no not with without".split())
 NOT_ARTICLE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
 )
@@ -68,57 +76,86 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_NAMES = re.compile(r"[^\s]+")
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
-def _unwanted(name: str, tag: str) -> bool:
-    """Whether an element's name or attributes say that it isn't part of the article."""
+HARD, WHOLE, PART = 3, 2, 1  # marks of an element
+
+
+def _name_mark(name: str) -> int:
+    """What one class name or id says: a whole name of the list, or one that begins or ends with such a word."""
+    parts = _PARTS.findall(name)
+    if not parts:
+        return 0
+    if len(parts) == 1:
+        return WHOLE if parts[0] in NOT_ARTICLE else 0
+    last = parts[-1] if parts[-2] not in LAYOUT else ""
+    if parts[0] in READERS or last in READERS:
+        return WHOLE
+    return PART if parts[0] in NOT_ARTICLE or last in NOT_ARTICLE else 0
+
+
+def _mark(name: str, tag: str) -> int:
+    """How strongly an element's name or attributes say that it isn't part of the article."""
     if name in NEVER_ARTICLE:
-        return True
+        return HARD
     if name in ("body", "html", "article", "main") or "=" not in tag and "hidden" not in tag:
-        return False
+        return 0
+    mark = 0
     for key, value in _HINTS.findall(tag):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in NOT_ARTICLE_ROLES:
-            return True
+            return HARD
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return HARD
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return HARD
         if key in ("class", "id") and any(p in NOT_ARTICLE for p in _PARTS.findall(value)):
-            return True
-    return False
+            return HARD
+    return mark
+
+
+class _Marked:
+    """An element that its names mark, with what it holds."""
+
+    __slots__ = ("mark", "has_article", "good", "article_good")
+
+    def __init__(self, mark: int):
+        self.mark, self.has_article, self.good, self.article_good = mark, False, 0, 0
 
 
 class _Block:
-    __slots__ = ("text", "linked", "article", "unwanted", "heading")
+    __slots__ = ("text", "linked", "article", "hard", "marked", "heading")
 
-    def __init__(self, text: str, linked: int, article: bool, unwanted: bool, heading: bool):
-        self.text, self.linked, self.article, self.unwanted, self.heading = text, linked, article, unwanted, heading
+    def __init__(self, text: str, linked: int, article: bool, hard: bool, marked: tuple[_Marked, ...], heading: bool):
+        self.text, self.linked, self.article = text, linked, article
+        self.hard, self.marked, self.heading = hard, marked, heading
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks in order, with white space collapsed and references decoded."""
     found: list[_Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is unwanted
-    state = {"links": 0, "linked": 0, "article": 0, "unwanted": 0, "heading": 0}
+    stack: list[tuple[str, int, bool]] = []  # open elements, their marks, and whether each is an unmarked article
+    marked: list[_Marked] = []  # the open elements that names mark
+    state = {"links": 0, "linked": 0, "article": 0, "hard": 0, "heading": 0}
 
     def close() -> None:
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                flags = state["article"] > 0, state["unwanted"] > 0, state["heading"] > 0
+                flags = state["article"] > 0, state["hard"] > 0, tuple(marked), state["heading"] > 0
                 found.append(_Block(text, state["linked"], *flags))
             parts.clear()
         state["linked"] = 0
 
-    def count(name: str, unwanted: bool, by: int) -> None:
-        state["article"] += by * (name in ARTICLE)
-        state["unwanted"] += by * unwanted
+    def count(name: str, mark: int, article: bool, by: int) -> None:
+        state["article"] += by * article
+        state["hard"] += by * (mark == HARD)
         state["heading"] += by * (name in HEADINGS)
         state["links"] += by * (name == "a")
 
@@ -133,6 +170,8 @@ def blocks(page: str) -> list[_Block]:
             if stack[i][0] == name:
                 for inner in stack[i:]:
                     count(*inner, -1)
+                    if inner[1] in (PART, WHOLE):
+                        marked.pop()
                 del stack[i:]
                 return
 
@@ -163,59 +202,97 @@ def blocks(page: str) -> list[_Block]:
             continue
         if name in VOID or tag.endswith("/>"):
             continue
-        if name in ENDS_PARAGRAPH and any(n == "p" for n, _ in stack[-4:]):
+        if name in ENDS_PARAGRAPH and any(n == "p" for n, *_ in stack[-4:]):
             end("p")
-        unwanted = _unwanted(name, tag)
-        stack.append((name, unwanted))
-        count(name, unwanted, 1)
+        mark = _mark(name, tag)
+        article = name in ARTICLE and not mark
+        if article:
+            for holder in marked:
+                holder.has_article = True
+        stack.append((name, mark, article))
+        if mark in (PART, WHOLE):
+            marked.append(_Marked(mark))
+        count(name, mark, article, 1)
     close()
     return found
 
 
-def _first_pass(block: _Block) -> str:
-    if block.unwanted:
-        return "bad"
+def _first_pass(block: _Block, article: bool) -> str:
+    """The label of a block by itself; ``article`` if it lies in an article that counts."""
     size = len(block.text)
     links = block.linked / size
     if links > MANY_LINKS:
         return "bad"
-    if "©" in block.text or "©" in block.text:
-        return "bad" if not block.article else "short"
+    if "©" in block.text and size < LONG:
+        return "bad" if not article else "short"
     if size < SHORT:
-        return "short" if not block.linked or block.article else "bad"
+        return "short" if not block.linked or article else "bad"
     found = _WORDS.findall(block.text)
     density = sum(w.lower() in STOP_WORDS for w in found) / max(1, len(found))
     if density >= MANY_STOP_WORDS:
         return "good" if size >= LONG else "near-good"
     if density >= SOME_STOP_WORDS:
         return "near-good"
-    return "short" if block.article else "bad"
+    return "short" if article else "bad"
+
+
+def _overruled(holder: _Marked, good: int, article_good: int) -> bool:
+    """Whether a marked element holds so much of the page's good text that its name cannot be meant."""
+    if not good:
+        return holder.has_article
+    if holder.mark == WHOLE and not holder.has_article:
+        return False
+    return 2 * holder.good > good and holder.article_good == article_good
+
+
+def _weigh(found: list[_Block]) -> tuple[list[bool], bool]:
+    """For each block whether its surroundings are unwanted, and whether the page's articles count."""
+    first = [_first_pass(b, False) for b in found]
+    kind = "good" if any(k == "good" and not b.hard for k, b in zip(first, found)) else "near-good"
+    sizes = [len(b.text) if k == kind and not b.hard else 0 for k, b in zip(first, found)]
+    unwanted = [b.hard for b in found]
+    # Whole names without an article first: long comments must not count when the others are weighed.
+    for mark, has_article in ((WHOLE, (False,)), (WHOLE, (True,)), (PART, (False, True))):
+        open_ = [size if not bad else 0 for size, bad in zip(sizes, unwanted)]
+        good, article_good = sum(open_), sum(n for n, b in zip(open_, found) if b.article)
+        holders = {id(h): h for b in found for h in b.marked if h.mark == mark and h.has_article in has_article}
+        for h in holders.values():
+            h.good = h.article_good = 0
+        for n, b in zip(open_, found):
+            for h in b.marked:
+                h.good += n
+                h.article_good += n * b.article
+        bad = {k for k, h in holders.items() if not _overruled(h, good, article_good)}
+        unwanted = [u or any(id(h) in bad for h in b.marked) for u, b in zip(unwanted, found)]
+    inside = [n for n, b, bad in zip(sizes, found, unwanted) if not bad and b.article]
+    outside = [n for n, b, bad in zip(sizes, found, unwanted) if not bad and not b.article]
+    return unwanted, bool(inside) and sum(inside) >= sum(outside)
 
 
 def labelled(found: list[_Block]) -> list[bool]:
     """For each block whether it is part of the main text."""
-    labels = [_first_pass(b) for b in found]
-    has_article = any(b.article and not b.unwanted for b in found)
-    if has_article:
-        # The page says where its article is; what lies outside decides nothing there.
-        labels = [label if b.article else "bad" for label, b in zip(labels, found)]
+    unwanted, counts = _weigh(found)
+    inside = [counts and b.article for b in found]
+    labels = ["bad" if bad else _first_pass(b, a) for b, bad, a in zip(found, unwanted, inside)]
+    # Where the articles count, what lies outside has them for a bad neighbour.
+    seen = ["bad" if a else label for label, a in zip(labels, inside)]
     before, after = [None] * len(found), [None] * len(found)
     last = None
-    for i, label in enumerate(labels):
+    for i, label in enumerate(seen):
         before[i] = last
         last = label if label in ("good", "bad") else last
     last = None
     for i in range(len(found) - 1, -1, -1):
         after[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
+        last = seen[i] if seen[i] in ("good", "bad") else last
     kept = []
-    any_good = "good" in labels
+    any_good = "good" in labels or any(inside)
     for i, (block, label) in enumerate(zip(found, labels)):
         around = {before[i], after[i]}
         if label in ("good", "bad"):
             kept.append(label == "good")
-        elif block.article:
-            kept.append(True)  # inside the article only its own bad blocks go
+        elif inside[i]:
+            kept.append(True)
         elif label == "near-good":
             kept.append("good" in around or not any_good)
         else:

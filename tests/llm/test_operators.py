@@ -380,6 +380,24 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def prose_of(i):
+    return f"This is what was said of the house number {i} and of the man that had been there for all of the time that was given to him in it."
+
+
+def test_html_blocks_decide_with_and_without_article():
+    body = [prose_of(i) for i in range(6)]
+    plain = "<body><div><h2>Head</h2>" + "".join(f"<p>{b}</p>" for b in body) + "</div>"
+    assert html_text.main_text(plain) == "Head " + " ".join(body)
+    teaser = "<article><h3><a href=x>Card</a></h3><p><a href=x>Read more</a></p></article>"
+    assert html_text.main_text(plain + teaser * 4) == "Head " + " ".join(body)
+    lead = f"<main><article><p>{body[0]}</p></article></main>"
+    assert html_text.main_text(lead + "".join(f"<div>{b}</div>" for b in body[1:])) == " ".join(body)
+    signed = f"{body[0]} The photo is © of the man and he has been in all of the books."
+    figure = "<figure><figcaption>The house</figcaption></figure><p>It is <math><mi>x</mi></math></p>"
+    page = f"<p>{signed}</p>{figure}<p>{body[1]}</p><p>© 2024 The Site</p><div>© 2024 The Site</div>"
+    assert html_text.main_text(page) == f"{signed} The house It is x {body[1]}"
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
