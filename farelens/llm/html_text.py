@@ -103,7 +103,7 @@ def _mark(name: str, tag: str) -> int:
     """How strongly an element's name or attributes say that it isn't part of the article."""
     if name in NEVER_ARTICLE:
         return HARD
-    if name in ("body", "html", "article", "main") or "=" not in tag and "hidden" not in tag:
+    if name in ("body", "html") or "=" not in tag and "hidden" not in tag:
         return 0
     mark = 0
     for key, value in _HINTS.findall(tag):
@@ -114,8 +114,8 @@ def _mark(name: str, tag: str) -> int:
             return HARD
         if key == "style" and "display:none" in value.replace(" ", ""):
             return HARD
-        if key in ("class", "id") and any(p in NOT_ARTICLE for p in _PARTS.findall(value)):
-            return HARD
+        if key in ("class", "id"):
+            mark = max([mark, *map(_name_mark, _NAMES.findall(value))])
     return mark
 
 

@@ -398,6 +398,20 @@ def test_html_blocks_decide_with_and_without_article():
     assert html_text.main_text(page) == f"{signed} The house It is x {body[1]}"
 
 
+def test_html_wrappers_named_like_what_they_lay_out():
+    body = [prose_of(i) for i in range(4)]
+    inner = "".join(f"<p>{b}</p>" for b in body)
+    side = f'<div class="sidebar"><p>{prose_of(7)}</p></div>'
+    comments = "".join(f'<article class="comment-body"><p>{prose_of(20 + i)}</p></article>' for i in range(9))
+    talk = f'<div class="comments-area"><ol class="comment-list">{comments}</ol></div>'
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "layout-with-menu", "search-result-page", "form-page"):
+        for text in (inner, f"<article>{inner}</article>", f"<main>{inner}</main>"):
+            assert html_text.main_text(f'<div class="page {name}">{text}{side}</div>{talk}') == " ".join(body)
+    for name in ("sidebar", "menu"):
+        assert html_text.main_text(f'<div id="{name}"><article>{inner}</article></div>{talk}') == " ".join(body)
+    assert html_text.main_text('<div class="has-sidebar"><article><p>Short.</p></article></div>') == "Short."
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
