@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.llm import bpe, html_text, lines, minhash, mixing, neighbours, passages, quality, repeats, shards
+from farelens.llm import bpe, decontaminate, html_text, lines, minhash, mixing, neighbours, passages, quality, repeats, shards
 from farelens.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -75,6 +75,19 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.find_contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +106,7 @@ def queries() -> dict:
         "op8_minhash": op8_minhash,
         "op9_shard": op9_shard,
         "op10_lines": op10_lines,
+        "op13_decontaminate": op13_decontaminate,
         "pipeline": pipeline,
     }
 
@@ -143,6 +157,30 @@ FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.key = b.key
 GROUP BY k.doc_id, k.source
 """
 
+ORACLE_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bi AS (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM bi),
+di AS (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) lengths WHERE len(w) >= m),
+dw AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM di),
+h AS (SELECT dw.r, dw.m, dw.i, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.m = bw.m),
+p AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS place FROM h) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.items, '')) AS items_sha256, p.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p ON d.r = p.r LEFT JOIN n ON d.r = n.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": ORACLE_OP1, "op10_lines": ORACLE_OP10}
+    return {"op1_mix": ORACLE_OP1, "op10_lines": ORACLE_OP10, "op13_decontaminate": ORACLE_OP13}
