@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.llm import bpe, decontaminate, html_text, lines, minhash, mixing, neighbours, passages, quality, repeats, shards
+from farelens.llm import bpe, decontaminate, html_text, lines, minhash, mixing, negatives, neighbours, passages, quality, repeats, shards, whitening
 from farelens.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -75,6 +75,17 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    # The operator's deviation is an exact decimal; one beyond long would be NULL here.
+    return whitening.whiten(vectors).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    return negatives.mine(vectors)
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = decontaminate.find_contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
@@ -106,6 +117,8 @@ def queries() -> dict:
         "op8_minhash": op8_minhash,
         "op9_shard": op9_shard,
         "op10_lines": op10_lines,
+        "op11_whiten": op11_whiten,
+        "op12_negatives": op12_negatives,
         "op13_decontaminate": op13_decontaminate,
         "pipeline": pipeline,
     }
