@@ -11,7 +11,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.functions.measures import mean_of, merge_parts
+from farelens.functions.measures import finished, merge_parts
 from farelens.functions.periods import period_start
 from farelens.operators.scope import Years, days_in, trips_in
 from farelens.plans.reports import per_key, volume_measures
@@ -38,7 +38,7 @@ def _calendar_periods(
         .agg(
             F.max("full_date").alias("last_day"),
             F.coalesce(F.sum("trip_count"), F.lit(0)).alias("trip_count"),
-            *merge_parts(names),
+            *merge_parts(trips),
         )
     )
 
@@ -59,9 +59,9 @@ def kpi_window_totals(
     totals = months.agg(
         F.coalesce(F.max("last_day"), _today(as_of)).alias("date"),
         F.coalesce(F.sum("trip_count"), F.lit(0)).alias("trip_count"),
-        *merge_parts(["avg_total_amount"]),
+        *merge_parts(months),
     )
-    return totals.select("date", "trip_count", mean_of("avg_total_amount"))
+    return finished(totals, ["avg_total_amount"])
 
 
 def kpi_busiest_month(
@@ -78,7 +78,7 @@ def kpi_busiest_month(
     """
     names = list(volume_measures())
     months = _calendar_periods(tables, "month", names, stable, [year], from_month)
-    month = months.select("date", "trip_count", *[mean_of(name) for name in names])
+    month = finished(months.drop("last_day"), names)
     earliest_first = -F.unix_date("date")
     best = month.agg(
         F.max_by(F.struct(*month.columns), F.struct(F.col("trip_count"), earliest_first)).alias("best")
@@ -107,8 +107,9 @@ def kpi_trends(
     totals = by_month.agg(
         F.coalesce(F.sum("trip_count"), F.lit(0)).cast("double").alias("total"),
         F.coalesce(F.max("trip_count"), F.lit(0)).cast("double").alias("busiest"),
-        *merge_parts(["avg_total_amount"]),
-    ).select("total", "busiest", mean_of("avg_total_amount"))
+        *merge_parts(by_month),
+    )
+    totals = finished(totals, ["avg_total_amount"])
     current = {
         "total_trips": F.col("total"),
         "avg_trips_per_period": F.col("total") / F.lit(float(months)),
@@ -139,7 +140,7 @@ def kpi_period_trend(
     """
     needed = sorted({y for year in years or () for y in (year - 1, year, year + 1)})
     periods = _calendar_periods(tables, period, ["avg_total_amount"], stable, needed)
-    rows = periods.select("date", "trip_count", mean_of("avg_total_amount"))
+    rows = finished(periods.drop("last_day"), ["avg_total_amount"])
     by_date = Window.orderBy("date")
     for name in ("trip_count", "avg_total_amount"):
         previous = F.col(f"previous_{name}")
