@@ -1,126 +1,129 @@
-"""Exact distribution figures from a value histogram.
+"""Exact quantiles in two scans and without sorting the data.
 
-The histogram is a distributed aggregate with one row per distinct value. Each value has a place in
-the order of doubles: its power of two and its 53-bit fraction. Ranks are found level by level, first
-among powers of two, then among ever smaller parts of the few that contain a wanted rank, so no window
-ever sees more than a fixed number of rows per wanted rank, whatever the values.
+The first scan makes Spark's mergeable quantile sketch of the values, together with their number, sum and
+extremes. It brackets each wanted quantile between two values. The second scan counts the values below, between and
+above the brackets and keeps those inside, one row per distinct value: about ``4 / accuracy`` of
+all values per quantile. Counting ranks from the counts leads to the exact result. Should a sketch ever have
+missed a rank, the part of the values that holds it is read again; adaptive execution leaves that out otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farelens.functions.measures import finished, mean_parts
+
 QUARTILES = (0.25, 0.5, 0.75)
-LEVELS = (48, 32, 16, 0)  # bits of the fraction that each level leaves open
-NAN_SCALE, INFINITE_SCALE, SCALE_OFFSET = 9_999, 9_998, 1_200
+ACCURACY = 10_000  # of the sketch: its error is 1/10,000 of the rows
+
+
+def brackets(value: Column, fractions: Sequence[float] = QUARTILES, accuracy: int = ACCURACY) -> Column:
+    """Aggregate: an array of a lower and an upper value around the quantile of each fraction.
 
+    Twice the error of the sketch is left on both sides. NULL without any finite value.
+    """
+    reach = 2 / accuracy
+    around = [min(max(p + side, 0.0), 1.0) for p in fractions for side in (-reach, reach)]
+    finite = F.when(F.abs(value) < float("inf"), value)
+    return F.percentile_approx(finite, around, accuracy)
+
+
+def summary(values: DataFrame, fractions: Sequence[float] = QUARTILES, accuracy: int = ACCURACY) -> DataFrame:
+    """One row ``(rows, mean, lowest, highest, cuts)`` of the doubles in the column ``value``."""
+    value = F.col("value")
+    figures = values.agg(
+        F.count(value).alias("rows"),
+        F.min(value).alias("lowest"),
+        F.max(value).alias("highest"),
+        brackets(value, fractions, accuracy).alias("cuts"),
+        *mean_parts(["value"], stable=True),
+    )
+    total = finished(figures, ["value"], sums=True)
+    return total.select("rows", (F.col("value") / F.col("rows")).alias("mean"), "lowest", "highest", "cuts")
 
-def value_histogram(
-    df: DataFrame, value: Column, number: Callable[[Column], Column] = lambda v: v
+
+def distribution(
+    values: DataFrame, fractions: Sequence[float] = QUARTILES, accuracy: int = ACCURACY
 ) -> DataFrame:
-    """``(value, n, scale, fraction)`` for every distinct non-null value, shown as a ``number``.
+    """One row ``(rows, mean, lowest, highest, quantiles)`` describing the doubles in the column ``value``.
 
-    ``number`` must be one-to-one; it is applied to distinct values only. Values are ordered as their
-    ``(scale, fraction)``; infinities and NaN, which is the greatest, have scales of their own.
+    ``quantiles`` is an array in the order of ``fractions``; each is interpolated linearly between the two
+    neighbouring values. NULLs are left out, NaN is the greatest value. Without values rows is 0 and the
+    rest NULL. One task per wanted rank orders the distinct values in its bracket; a greater ``accuracy``
+    keeps them few for very many rows, at the price of a larger sketch.
     """
-    return (
-        df.select(value.alias("raw"))
-        .where(F.col("raw").isNotNull())
-        .groupBy("raw")
-        .agg(F.count("*").alias("n"))
-        .select(number(F.col("raw")).cast("double").alias("value"), "n")
-        .withColumns(_order_of(F.col("value")))
-        # Always true. A join on scale would add it to one side only, and Spark would then not see
-        # that both sides come from the same histogram and would compute that twice.
-        .where(F.col("scale").isNotNull() & F.col("fraction").isNotNull())
+    known = values.where(F.col("value").isNotNull()).select("value")
+    # One record for both uses, so that both are the same query and it runs once.
+    figures = summary(known, fractions, accuracy).select(F.struct("*")).scalar()
+    whole = quantiles(known, figures["cuts"], fractions).withColumn("whole", figures)
+    return whole.select(
+        F.coalesce("whole.rows", F.lit(0)).alias("rows"), "whole.mean", "whole.lowest", "whole.highest", "quantiles"
     )
 
 
-def _order_of(value: Column) -> dict[str, Column]:
-    size = F.abs(value)
-    power = F.floor(F.log2(size)).cast("int")
-    half = F.floor(power / 2).cast("int")
-    # Scaled in two steps, since 2 ** -power alone may overflow. Both steps are exact.
-    scaled = size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power)
-    side = F.signum(value).cast("int")
-    finite = ~F.isnan(value) & (size != float("inf"))
-    return {
-        "scale": F.when(F.isnan(value), NAN_SCALE)
-        .when(~finite, side * INFINITE_SCALE)
-        .when(value == 0, 0)
-        .otherwise(side * (power + SCALE_OFFSET)),
-        "fraction": F.when(finite & (value != 0), side * ((scaled - 1) * float(2**53)).cast("long")).otherwise(
-            F.lit(0).cast("long")
-        ),
-    }
-
-
-def distribution(histogram: DataFrame, fractions: Sequence[float] = QUARTILES) -> DataFrame:
-    """One row ``(rows, mean, lowest, highest, quantiles)`` describing a histogram.
-
-    ``quantiles`` is an array in the order of ``fractions``; each is interpolated linearly between
-    the two neighbouring values. An empty histogram gives zero rows counted and NULL elsewhere.
+def quantiles(known: DataFrame, cuts: Column, fractions: Sequence[float]) -> DataFrame:
+    """One row ``(quantiles)`` of the non-null doubles in the column ``value``.
+
+    ``cuts`` are the :func:`brackets` of the same fractions.
     """
-    everything = Window.partitionBy()
-    first = _parts(histogram, LEVELS[0], []).select(
-        "*",
-        (F.sum("part_n").over(Window.orderBy("scale", "part")) - F.col("part_n")).alias("rows_before"),
-        F.sum("part_n").over(everything).alias("rows"),
-        F.sum("part_total").over(everything).alias("total"),
-        F.min("value").over(everything).alias("lowest"),
-        F.max("part_highest").over(everything).alias("highest"),
+    each = range(len(fractions))
+    # ``cuts`` is a query of its own, so it is named once and then only referred to. Cells follow the order of
+    # values. Inside a bracket more have been entered than left.
+    entered = " + ".join(f"int(coalesce(value >= cuts[{2 * i}], false))" for i in each)
+    left = " + ".join(f"int(coalesce(value > cuts[{2 * i + 1}], false))" for i in each)
+    placed = (
+        known.withColumn("cuts", cuts)
+        .selectExpr("value", f"{entered} AS entered", f"{left} AS left")
+        .selectExpr("value", "entered + left AS cell", "entered > left AS inside")
     )
-    last = F.col("rows") - 1
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("slot"), side(F.lit(p) * last).cast("long").alias("rank"))
-            for i, p in enumerate(fractions)
-            for side in (F.floor, F.ceil)
-        ]
+    counts = (
+        placed.selectExpr("cell", "CASE WHEN inside THEN value END AS value")
+        .groupBy("cell", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    carried = ["slot", "rank", "rows", "total", "lowest", "highest"]
-    holds_rank = F.col("rank").between(F.col("rows_before"), F.col("rows_before") + F.col("part_n") - 1)
-    located = first.withColumn("wanted", F.explode(F.array_distinct(wanted))).select("*", "wanted.*")
-    located = located.where(holds_rank).select(*carried, "scale", "part", "rows_before", "value")
-    before = Window.partitionBy("slot", "rank").orderBy("part")
-    for above, bits in zip(LEVELS, LEVELS[1:]):
-        # At most two rows per fraction, so this side may always be broadcast.
-        few = F.broadcast(located.withColumnsRenamed({"part": "within", "rows_before": "start"}).drop("value"))
-        # Null-safe, or Spark would add a filter of its own for each level and count the histogram again.
-        few = few.withColumnRenamed("scale", "few_scale")
-        same = F.col("scale").eqNullSafe(F.col("few_scale")) & F.shiftright("fraction", above).eqNullSafe(F.col("within"))
-        inside = histogram.join(few, same)
-        parts = _parts(inside, bits, [*carried, "start"])
-        so_far = F.col("start") + F.sum("part_n").over(before) - F.col("part_n")
-        located = parts.withColumn("rows_before", so_far).where(holds_rank)
-        located = located.select(*carried, "scale", "part", "rows_before", "value")
-
-    quantiles = []
-    for i, p in enumerate(fractions):
-        low = F.min(F.when(F.col("slot") == i, F.col("value")))
-        high = F.max(F.when(F.col("slot") == i, F.col("value")))
-        position = F.lit(p) * (F.max("rows") - 1)
-        share = position - F.floor(position)
-        infinite = F.abs(low) == float("inf")  # their difference from the next value is not a number
-        between = F.when(infinite, (1 - share) * low + share * high).otherwise(low + share * (high - low))
-        quantiles.append(F.when(low == high, low).otherwise(between))
-    return located.agg(
-        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
-        (F.max("total") / F.max("rows")).alias("mean"),
-        F.max("lowest").alias("lowest"),
-        F.max("highest").alias("highest"),
-        F.array(*quantiles).alias("quantiles"),
+    # A row for each distinct value inside, and one for all values between two brackets.
+    sides = [(i, p, side) for i, p in enumerate(fractions) for side in ("floor", "ceil")]
+    wanted = ", ".join(f"struct({i} AS slot, bigint({side}({p!r}D * (rows - 1))) AS rank)" for i, p, side in sides)
+    picked = (
+        counts.selectExpr(
+            "cell",
+            "value",
+            "n",
+            "sum(n) OVER (ORDER BY cell, value) - n AS start",
+            "sum(n) OVER () AS rows",
+        )
+        .selectExpr(
+            "*", f"filter(array_distinct(array({wanted})), w -> w.rank >= start AND w.rank < start + n) AS ranks"
+        )
+        .where("size(ranks) > 0")
+        .selectExpr("cell", "value", "rows", "start", "inline(ranks)")
     )
-
-
-def _parts(histogram: DataFrame, open_bits: int, keys: Sequence[str]) -> DataFrame:
-    """The histogram summed over parts of the order that agree in all but ``open_bits`` bits."""
-    return histogram.groupBy(*keys, "scale", F.shiftright("fraction", open_bits).alias("part")).agg(
-        F.sum("n").alias("part_n"),
-        F.sum(F.col("value") * F.col("n")).alias("part_total"),
-        F.min("value").alias("value"),
-        F.max("value").alias("part_highest"),
+    # At most two rows per fraction from here on.
+    missed = F.broadcast(picked.where("value IS NULL").selectExpr("cell AS of", "rows", "start", "slot", "rank"))
+    again = (
+        placed.join(missed, F.col("cell") == F.col("of"))
+        .groupBy("slot", "rank", "rows", "start", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .selectExpr("*", "start + sum(n) OVER (PARTITION BY slot, rank ORDER BY value) AS up_to")
+        .where("rank < up_to AND rank >= up_to - n")
     )
+    columns = ["slot", "rows", "value"]
+    ends = [
+        F.expr(f"{end}(CASE WHEN slot = {i} THEN value END) AS {name}{i}")
+        for i in each
+        for name, end in (("low", "min"), ("high", "max"))
+    ]
+    picked = picked.where("value IS NOT NULL").select(*columns).union(again.select(*columns))
+    between = ", ".join(_interpolated(i, p) for i, p in enumerate(fractions))
+    return picked.agg(F.max("rows").alias("rows"), *ends).selectExpr(f"array({between}) AS quantiles")
+
+
+def _interpolated(slot: int, fraction: float) -> str:
+    low, high, position = f"low{slot}", f"high{slot}", f"({fraction!r}D * (rows - 1))"
+    share = f"({position} - floor({position}))"
+    infinite = f"abs({low}) = double('Infinity')"  # their difference from the next value is not a number
+    between = f"IF({infinite}, (1 - {share}) * {low} + {share} * {high}, {low} + {share} * ({high} - {low}))"
+    return f"IF({low} = {high}, {low}, {between})"

@@ -8,7 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.operators.distribution import distribution, value_histogram
+from farelens.functions.keysets import holds, key_words
+from farelens.operators.distribution import brackets, quantiles
 from farelens.sources.schema import TripTables
 
 # Fields, dimensions, targets, alert kinds and messages of the quality section.
@@ -83,19 +84,33 @@ def _parses(text: Column, fmt: str) -> Column:
     return F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
 
 
-def fence(histogram: DataFrame) -> Column:
-    """A record ``{lower, upper}``: the quartiles of a histogram widened by 1.5 interquartile ranges."""
-    q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
-    reach = (q3 - q1) * FENCE_WIDTH
-    bounds = F.struct((q1 - reach).alias("lower"), (q3 + reach).alias("upper"))
-    return distribution(histogram, (0.25, 0.75)).select(bounds.alias("bounds")).scalar()
+FENCE_QUARTILES = (0.25, 0.75)
+
+
+def fence(found: Column) -> Column:
+    """A record ``{lower, upper}``: an array of both quartiles widened by 1.5 interquartile ranges."""
+    reach = (found[1] - found[0]) * FENCE_WIDTH
+    return F.struct((found[0] - reach).alias("lower"), (found[1] + reach).alias("upper"))
+
+
+def _fence_of(amounts: DataFrame, cuts: Column) -> Column:
+    """The fence of a column with these :func:`brackets`."""
+    present = amounts.toDF("value").where(F.col("value").isNotNull())
+    found = quantiles(present, cuts, FENCE_QUARTILES)
+    return found.select(fence(F.col("quantiles")).alias("bounds")).scalar()
+
+
+def _one_record(row: DataFrame) -> Column:
+    """A table of one row as one record. All who use it use the same query, which Spark then runs once."""
+    return row.select(F.struct("*")).scalar()
 
 
 def outliers(tables: TripTables, column: str = "fare_amount") -> DataFrame:
     """``(trip_id, <column>)`` of trips whose amount lies above the upper fence."""
     amount = F.col(column)
-    upper = fence(value_histogram(tables.fact_trips, amount))["upper"]
-    return tables.fact_trips.where(amount > upper).select("trip_id", column)
+    cuts = tables.fact_trips.agg(brackets(amount, FENCE_QUARTILES)).scalar()
+    bounds = _fence_of(tables.fact_trips.select(amount.cast("double")), cuts)
+    return tables.fact_trips.where(amount > bounds["upper"]).select("trip_id", column)
 
 
 def duplicates(tables: TripTables) -> DataFrame:
@@ -104,7 +119,8 @@ def duplicates(tables: TripTables) -> DataFrame:
 
 
 def _occurrences(tables: TripTables) -> DataFrame:
-    return tables.fact_trips.groupBy("trip_id").agg(F.count("*").alias("occurrences"))
+    ids = tables.fact_trips if tables.trip_ids is None else tables.trip_ids
+    return ids.groupBy("trip_id").agg(F.count("*").alias("occurrences"))
 
 
 def scorecard(
@@ -121,36 +137,52 @@ def scorecard(
     trips with both times.
     """
     fact = tables.fact_trips
-    pickup, dropoff = F.col("tpep_pickup_datetime"), F.col("tpep_dropoff_datetime")
-    until = _latest_pickup(tables) if as_of is None else as_of.cast("timestamp_ntz")
-    fresh = pickup.between(until - F.expr(f"INTERVAL '{FRESH_DAYS}' DAY"), until)
+    pickup, dropoff, fare = F.col("tpep_pickup_datetime"), F.col("tpep_dropoff_datetime"), F.col("fare_amount")
+    # First scan: what needs no other figure, and what the second and third need.
     complete = [_percent(F.count(c), F.count("*")) for c in COMPLETENESS_FIELDS.values()]
-    from_fact = {
-        "Complétude": reduce(add, complete) / F.lit(len(complete)),
-        "Actualité": _percent(F.count_if(fresh), F.count(pickup)),
-    }
-    if raw is None:
-        from_fact["Validité"] = _percent(F.count_if(pickup.isNotNull() & dropoff.isNotNull()), F.count("*"))
-    one_scan = fact.agg(*[score.alias(name) for name, score in from_fact.items()]).unpivot(
-        [], list(from_fact), "dimension", "score"
+    first = _one_record(
+        fact.agg(
+            (reduce(add, complete) / F.lit(len(complete))).alias("complete"),
+            _percent(F.count_if(pickup.isNotNull() & dropoff.isNotNull()), F.count("*")).alias("timed"),
+            F.max(pickup).alias("latest"),
+            brackets(fare, FENCE_QUARTILES).alias("cuts"),
+        )
     )
-
-    histogram = value_histogram(fact, F.col("fare_amount"))
-    bounds = fence(histogram)
-    inside = F.col("value").between(bounds["lower"], bounds["upper"])
+    # Second scan, for the fence; third: each trip against the fence, the last 30 days and all key lists.
+    fence_bounds = _fence_of(fact.select("fare_amount"), first["cuts"])
+    until = first["latest"] if as_of is None else as_of.cast("timestamp_ntz")
+    fresh = pickup.between(F.col("until") - F.expr(f"INTERVAL '{FRESH_DAYS}' DAY"), F.col("until"))
+    bounds, lists = F.col("bounds"), _key_lists(tables)
+    words = {name: listed for name, (listed, _) in lists.items()}
+    measured = fact.withColumns({"bounds": fence_bounds, "until": until, **words})
+    per_vendor = measured.groupBy("vendor_key").agg(
+        F.count("*").alias("trips"),
+        F.count_if(_sound(lists)).alias("sound"),
+        F.count_if(fresh).alias("fresh"),
+        F.count(pickup).alias("dated"),
+        F.count_if(fare.between(bounds["lower"], bounds["upper"])).alias("inside"),
+        F.count(fare).alias("priced"),
+    )
+    checked = _known_vendors(per_vendor, tables).agg(
+        _percent(F.sum(F.when(F.col("known"), F.col("sound")).otherwise(0)), F.sum("trips")).alias("Cohérence"),
+        _percent(F.sum("fresh"), F.sum("dated")).alias("Actualité"),
+        _percent(F.sum("inside"), F.sum("priced")).alias("Précision"),
+    )
+    one_row = checked.withColumn("first", first).select(
+        *checked.columns, F.col("first.complete").alias("Complétude"), F.col("first.timed").alias("Validité")
+    )
+    if raw is not None:
+        one_row = one_row.drop("Validité")
+    scores = one_row.unpivot([], one_row.columns, "dimension", "score")
+    # Ids are counted apart, and raw texts are another table.
     own_scans = {
         "Unicité": _occurrences(tables).agg(
             _percent(F.count("trip_id"), F.sum("occurrences")).alias("score")
-        ),
-        "Cohérence": _consistency(tables),
-        "Précision": histogram.agg(
-            _percent(F.sum(F.when(inside, F.col("n")).otherwise(0)), F.sum("n")).alias("score")
-        ),
+        )
     }
     if raw is not None:
         text = F.col(column)
         own_scans["Validité"] = raw.agg(_percent(F.count_if(_parses(text, fmt)), F.count(text)).alias("score"))
-    scores = one_scan
     for name, score in own_scans.items():
         scores = scores.unionByName(score.select(F.lit(name).alias("dimension"), "score"))
     targets = F.create_map(*[F.lit(x) for pair in TARGETS.items() for x in pair])
@@ -158,39 +190,38 @@ def scorecard(
     return scores.select("dimension", "score", targets[F.col("dimension")].alias("target")).orderBy(order)
 
 
-def _latest_pickup(tables: TripTables) -> Column:
-    return tables.fact_trips.agg(F.max("tpep_pickup_datetime")).scalar()
+def _key_lists(tables: TripTables) -> dict[str, tuple[Column, tuple[str, ...]]]:
+    """For each list of days, zones and codes its keys as one array of bits, and the trip columns that refer to it.
 
+    These lists have dense keys (see ``farelens.functions.keysets``), so no trip has to be joined.
+    """
+    lists = {
+        "days": (tables.dim_date, "date_key", ("pickup_date_key", "dropoff_date_key")),
+        "zones": (tables.dim_location, "location_key", ("pickup_location_key", "dropoff_location_key")),
+        "rates": (tables.dim_rate_code, "rate_code_key", ("rate_code_key",)),
+        "payments": (tables.dim_payment_type, "payment_type_key", ("payment_type_key",)),
+    }
+    return {
+        name: (_one_record(key_words(dimension, key)), columns)
+        for name, (dimension, key, columns) in lists.items()
+    }
 
-def _consistency(tables: TripTables) -> DataFrame:
-    """Share of trips that end no earlier than they start and whose foreign keys all resolve.
 
-    Days, zones and codes are joined trip by trip. The vendor list is the one dimension that grows
-    with the business, so trips are counted per vendor before it is joined.
-    """
-    in_order = F.coalesce(F.col("tpep_dropoff_datetime") >= F.col("tpep_pickup_datetime"), F.lit(False))
-    trips = tables.fact_trips.withColumn("sound", in_order)
-    references = [
-        ("pickup_date_key", tables.dim_date, "date_key"),
-        ("dropoff_date_key", tables.dim_date, "date_key"),
-        ("pickup_location_key", tables.dim_location, "location_key"),
-        ("dropoff_location_key", tables.dim_location, "location_key"),
-        ("rate_code_key", tables.dim_rate_code, "rate_code_key"),
-        ("payment_type_key", tables.dim_payment_type, "payment_type_key"),
-    ]
-    for foreign, dimension, key in references:
-        trips = _check_reference(trips, foreign, dimension, key)
-    counts = trips.groupBy("vendor_key", "sound").agg(F.count("*").alias("n"))
-    counts = _check_reference(counts, "vendor_key", tables.dim_vendor, "vendor_key")
-    return counts.agg(
-        _percent(F.sum(F.when(F.col("sound"), F.col("n")).otherwise(0)), F.sum("n")).alias("score")
-    )
+def _sound(lists: dict[str, tuple[Column, tuple[str, ...]]]) -> Column:
+    """Whether a trip ends no earlier than it starts and its days, zones and codes all exist; the lists are columns."""
+    sound = F.coalesce(F.col("tpep_dropoff_datetime") >= F.col("tpep_pickup_datetime"), F.lit(False))
+    for name, (_, columns) in lists.items():
+        for column in columns:
+            sound = sound & (F.col(column).isNull() | holds(F.col(name), F.col(column)))
+    return sound
 
 
-def _check_reference(rows: DataFrame, foreign: str, dimension: DataFrame, key: str) -> DataFrame:
-    known = dimension.select(F.col(key).alias(foreign), F.lit(True).alias("known")).distinct()
-    resolved = F.col(foreign).isNull() | F.col("known").isNotNull()
-    return rows.join(known, foreign, "left").withColumn("sound", F.col("sound") & resolved).drop("known")
+def _known_vendors(per_vendor: DataFrame, tables: TripTables) -> DataFrame:
+    """Counts per vendor key, with ``known``: whether the vendor exists. The list of vendors is the one
+    dimension that grows with the business, so it is joined, but only to one row per vendor."""
+    listed = tables.dim_vendor.select(F.col("vendor_key").alias("listed_key")).distinct()
+    joined = per_vendor.join(listed, F.col("vendor_key") == F.col("listed_key"), "left")
+    return joined.withColumn("known", F.col("vendor_key").isNull() | F.col("listed_key").isNotNull())
 
 
 def alerts(
@@ -205,29 +236,45 @@ def alerts(
     Most severe first, then latest; ids follow that order. ``date`` is ``as_of`` (default: the
     latest pickup). The other arguments are those of :func:`format_errors`.
     """
-    date = (_latest_pickup(tables) if as_of is None else as_of).cast("date")
-    # Only their number is asked for, so outliers are counted in the histogram that the fence comes from.
-    fares = value_histogram(tables.fact_trips, F.col("fare_amount"))
-    high = fares.where(F.col("value") > fence(fares)["upper"])
-    one_each = F.count("*").alias("n")
-    found = [
-        (MISSING_VALUES, missing_values(tables).agg(one_each)),
-        (FORMAT_ERROR, format_errors(tables, raw, column, fmt).agg(one_each)),
-        (OUTLIER, high.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))),
-        (DUPLICATE, duplicates(tables).agg(one_each)),
-    ]
-    rows = [
-        counted.where(F.col("n") > 0)
-        .select(
-            F.lit(severity).alias("severity"),
-            F.lit(kind).alias("type"),
-            F.lit(field).alias("field"),
-            F.concat_ws(" ", F.col("n").cast("string"), F.lit(text)).alias("message"),
-            date.alias("date"),
+    fact = tables.fact_trips
+    kind, fare = MISSING_VALUES[2], F.col(OUTLIER[2])
+    first = _one_record(
+        fact.agg(
+            F.count_if(F.col(kind).isNull()).alias("missing"),
+            F.max("tpep_pickup_datetime").alias("latest"),
+            brackets(fare, FENCE_QUARTILES).alias("cuts"),
         )
-        for (severity, kind, field, text), counted in found
-    ]
-    listed = reduce(DataFrame.unionByName, rows)
+    )
+    bounds = _fence_of(fact.select(fare), first["cuts"])
+    date = (first["latest"] if as_of is None else as_of).cast("date")
+    # Kinds whose figures come from the same scan are columns of one row until the last step.
+    high = fact.withColumn("bounds", bounds).agg(F.count_if(fare > F.col("bounds.upper")).alias(OUTLIER[1]))
+    one_row = high.withColumn(MISSING_VALUES[1], first["missing"])
+    one_each = F.count("*").alias("n")
+    counted = one_row.unpivot([], [OUTLIER[1], MISSING_VALUES[1]], "kind", "n")
+    for (_, name, _, _), listed in (
+        (FORMAT_ERROR, format_errors(tables, raw, column, fmt)),
+        (DUPLICATE, duplicates(tables)),
+    ):
+        counted = counted.union(listed.agg(one_each).select(F.lit(name), "n"))
+    kinds = F.create_map(
+        *[
+            x
+            for severity, name, field, text in (MISSING_VALUES, FORMAT_ERROR, OUTLIER, DUPLICATE)
+            for x in (
+                F.lit(name),
+                F.struct(F.lit(severity).alias("severity"), F.lit(field).alias("field"), F.lit(text).alias("text")),
+            )
+        ]
+    )
+    told = kinds[F.col("kind")]
+    listed = counted.where(F.col("n") > 0).select(
+        told["severity"].alias("severity"),
+        F.col("kind").alias("type"),
+        told["field"].alias("field"),
+        F.concat_ws(" ", F.col("n").cast("string"), told["text"]).alias("message"),
+        date.alias("date"),
+    )
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     by_rank = Window.orderBy(rank, F.desc("date"), "type")
     return listed.select(F.row_number().over(by_rank).alias("id"), "*").orderBy("id")

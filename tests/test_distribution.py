@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from farelens.operators.distribution import distribution, value_histogram
+from farelens.operators.distribution import distribution, quantiles
 
 INF, NAN = math.inf, math.nan
 rng = random.Random(5)
@@ -25,7 +25,7 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_quantiles_equal_those_of_spark(spark, name):
     values = spark.createDataFrame([(v,) for v in CASES[name]] + [(None,)], "v double")
-    own = distribution(value_histogram(values, F.col("v")), (0.0, 0.25, 0.5, 0.75, 1.0)).first()
+    own = distribution(values.toDF("value"), (0.0, 0.25, 0.5, 0.75, 1.0)).first()
     theirs = values.agg(F.percentile("v", [0.0, 0.25, 0.5, 0.75, 1.0]), F.min("v"), F.max("v")).first()
     assert own["rows"] == len(CASES[name])
     for a, b in zip([*own["quantiles"], own["lowest"], own["highest"]], [*theirs[0], theirs[1], theirs[2]]):
@@ -34,5 +34,14 @@ def test_quantiles_equal_those_of_spark(spark, name):
 
 
 def test_an_empty_histogram_has_no_rows(spark):
-    row = distribution(value_histogram(spark.createDataFrame([], "v double"), F.col("v"))).first()
+    row = distribution(spark.createDataFrame([], "value double")).first()
     assert row["rows"] == 0 and row["mean"] is None and row["quantiles"] == [None] * 3
+
+
+@pytest.mark.parametrize("cuts", [[1e9] * 6, [-1e9] * 6, [1.0, 1.0, 0.5, 2.0, 30.0, 90.0], None])
+def test_a_rank_outside_its_bracket_is_found_all_the_same(spark, cuts):
+    values = [float(i % 60) for i in range(400)] + [INF]
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    wrong = F.lit(cuts).cast("array<double>") if cuts else F.lit(None).cast("array<double>")
+    got = quantiles(df, wrong, (0.25, 0.5, 0.75)).first()["quantiles"]
+    assert got == df.agg(F.percentile("value", [0.25, 0.5, 0.75])).first()[0]
