@@ -7,7 +7,7 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.functions.measures import exact_sum
+from farelens.functions.measures import finished, mean_parts, merge_parts
 from farelens.functions.periods import period_start
 
 UNKNOWN = "Inconnu"
@@ -35,27 +35,34 @@ def year_filter(report: DataFrame, years: Collection[int] | None = (2024,)) -> D
     return chosen.orderBy("date")
 
 
-def period_rollup(daily: DataFrame, period: str, stable: bool = False) -> DataFrame:
+def period_rollup(daily: DataFrame, period: str, stable: bool = False, exact: bool = False) -> DataFrame:
     """Daily volume summed up to weeks, months, quarters or years.
 
-    Means are weighted by ``trip_count``. Where a measure has NULLs that differs slightly from the
-    mean over the trips themselves, for which see ``plans.reports.trip_volume(period=...)``.
+    Means are weighted by ``trip_count``. Where a measure has NULLs that differs slightly from the mean over
+    the trips themselves. ``exact=True`` gives the latter, as ``plans.reports.trip_volume(period=...)``
+    does, from the mergeable states of a stored daily table (``plans.daily``).
     """
+    if exact:
+        states = daily.where("trip_count > 0").groupBy(period_start(F.col("date"), period).alias("date"))
+        merged = states.agg(F.sum("trip_count").alias("trip_count"), *merge_parts(daily, DAILY_MEANS))
+        return finished(merged, DAILY_MEANS).orderBy("date")
     start = period_start(F.col("date"), period)
     if period == "day":
         return daily.orderBy("date")
-    count = F.sum("trip_count")
-
-    def weighted(mean: str):
-        product = F.col(mean) * F.col("trip_count")
-        total = exact_sum(product) if stable else F.sum(product)
-        return (total.cast("double") / F.greatest(count, F.lit(1))).alias(mean)
-
-    return (
-        daily.groupBy(start.alias("date"))
-        .agg(count.alias("trip_count"), *[weighted(mean) for mean in DAILY_MEANS])
-        .orderBy("date")
+    products = daily.select(
+        start.alias("date"),
+        F.col("trip_count").alias("trips"),
+        *[(F.col(mean) * F.col("trip_count")).alias(mean) for mean in DAILY_MEANS],
+    )
+    weighted = mean_parts(DAILY_MEANS, stable)
+    totals = finished(
+        products.groupBy("date").agg(F.sum("trips").alias("trip_count"), *weighted), DAILY_MEANS, sums=True
     )
+    return totals.select(
+        "date",
+        "trip_count",
+        *[(F.col(mean) / F.greatest("trip_count", F.lit(1))).alias(mean) for mean in DAILY_MEANS],
+    ).orderBy("date")
 
 
 def monthly_distribution(daily: DataFrame) -> DataFrame:

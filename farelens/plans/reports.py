@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelens.functions.durations import elapsed_seconds
-from farelens.functions.measures import mean_of, mean_parts, merge_parts
+from farelens.functions.measures import finished, mean_parts, merge_parts
 from farelens.functions.periods import period_start
-from farelens.operators.distribution import distribution, value_histogram
+from farelens.operators.distribution import distribution
 from farelens.operators.enrich import in_role
 from farelens.operators.reshape import UNKNOWN
 from farelens.operators.scope import Years, trips_in
@@ -38,16 +38,21 @@ def volume_measures() -> dict[str, Column]:
     }
 
 
+def fee_measures() -> dict[str, Column]:
+    amounts = ["fare_amount", "tip_amount", "tolls_amount", "mta_tax", "improvement_surcharge", "extra", "total_amount"]
+    return {f"avg_{c}": F.col(c) for c in amounts}
+
+
 def per_key(fact: DataFrame, keys: list[str], measures: Mapping[str, Column], stable: bool) -> DataFrame:
     """Trip count and mean parts per distinct combination of fact keys."""
-    return fact.groupBy(*keys).agg(trip_count(), *mean_parts(measures, stable))
+    named = fact.select(*keys, *[value.cast("double").alias(name) for name, value in measures.items()])
+    return named.groupBy(*keys).agg(trip_count(), *mean_parts(measures, stable))
 
 
 def regroup(joined: DataFrame, keys: list[Column], names: Collection[str]) -> DataFrame:
     """Merge per-key rows into the report's groups and finish the means."""
-    merged = joined.groupBy(*keys).agg(F.sum("trip_count").alias("trip_count"), *merge_parts(names))
-    group_columns = [c for c in merged.columns if not c.endswith(("__sum", "__n"))]
-    return merged.select(*group_columns, *[mean_of(name) for name in names])
+    merged = joined.groupBy(*keys).agg(F.sum("trip_count").alias("trip_count"), *merge_parts(joined, names))
+    return finished(merged, names)
 
 
 def trip_volume(
@@ -66,9 +71,7 @@ def financial_breakdown(
     tables: TripTables, *, period: str = "month", years: Years = None, stable: bool = False
 ) -> DataFrame:
     """Mean of each fee component and of the total per period."""
-    amounts = ["fare", "tip", "tolls"]
-    columns = [f"{a}_amount" for a in amounts] + ["mta_tax", "improvement_surcharge", "extra", "total_amount"]
-    measures = {f"avg_{c}": F.col(c) for c in columns}
+    measures = fee_measures()
     trips = per_key(trips_in(tables, years), ["pickup_date_key"], measures, stable)
     return _per_period(tables, trips, period, measures).drop("trip_count")
 
@@ -171,7 +174,7 @@ def trip_duration_stats(tables: TripTables, *, years: Years = None, approx: bool
             F.percentile_approx("s", [0.25, 0.5, 0.75]).alias("quantiles"),
         )
     else:
-        stats = distribution(value_histogram(timed, F.col("trip_duration"), elapsed_seconds))
+        stats = distribution(timed.select(elapsed_seconds(F.col("trip_duration")).alias("value")))
     figures = {
         "avg": F.col("mean"),
         "min": F.col("lowest"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from farelens.sources.schema import (
     TripTables,
     conform,
 )
-from farelens.sources.tables import load_tables, write_tables
+from farelens.sources.tables import load_tables, load_trip_ids, write_tables, write_trip_ids
 
 SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region")
 RAW_PICKUPS = "trip_id bigint, pickup_datetime string"
@@ -51,6 +52,11 @@ def stage_star(spark: SparkSession, sf_dir: str) -> TripTables:
     return _stage(spark, sf_dir)[0]
 
 
+def stage_root(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the staged tables."""
+    return _stage(spark, sf_dir)[1]
+
+
 def stage_raw_pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`raw_pickups`, stored beside the staged tables at its first use."""
     tables, root = _stage(spark, sf_dir)
@@ -70,7 +76,10 @@ def _stage(spark: SparkSession, sf_dir: str) -> tuple[TripTables, str]:
     if version not in _staged:
         root = f"{_shared_folder(spark)}/farelens-{version[0]}-{uuid.uuid4().hex}"
         write_tables(derive_star(spark, sf_dir), root)
-        _staged[version] = load_tables(spark, root), root
+        tables = load_tables(spark, root)
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_trip_ids(tables, root, buckets)
+        _staged[version] = replace(tables, trip_ids=load_trip_ids(spark, root, buckets)), root
     return _staged[version]
 
 

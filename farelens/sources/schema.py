@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -105,7 +105,11 @@ MONTH_PARTITION = T.StructType(
 
 @dataclass(frozen=True)
 class TripTables:
-    """The six tables every report reads; any DataFrames with these columns will do."""
+    """The six tables every report reads; any DataFrames with these columns will do.
+
+    ``trip_ids``, if there, has the column ``trip_id`` of ``fact_trips`` row for row and is stored in buckets
+    of it (``farelens.sources.tables``); checks of ids then need no shuffle.
+    """
 
     fact_trips: DataFrame
     dim_date: DataFrame
@@ -113,9 +117,10 @@ class TripTables:
     dim_payment_type: DataFrame
     dim_rate_code: DataFrame
     dim_vendor: DataFrame
+    trip_ids: DataFrame | None = None
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, getattr(self, name)) for name in SCHEMAS]
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,32 @@ def write_tables(tables: TripTables, root: str) -> None:
             conform(df, SCHEMAS[name]).hint("rebalance").write.parquet(f"{root}/{name}")
 
 
+def write_trip_ids(tables: TripTables, root: str, buckets: int) -> None:
+    """Store the trip ids alone, in ``buckets`` buckets of themselves.
+
+    Rows of one id lie in one bucket, so counting ids (duplicates, uniqueness) needs no shuffle. Buckets should
+    be so many that one is a task's work: about 20 million ids.
+    """
+    ids = tables.fact_trips.select("trip_id").repartition(buckets, "trip_id").write.bucketBy(buckets, "trip_id")
+    ids.saveAsTable(_ids_name(root), format="parquet", path=f"{root}/trip_ids")
+
+
+def load_trip_ids(spark: SparkSession, root: str, buckets: int) -> DataFrame:
+    """The ids stored by :func:`write_trip_ids`. Buckets are known to Spark through its catalog, so the files are
+    entered there, as an external table, if this session's catalog does not have them."""
+    name = _ids_name(root)
+    if not spark.catalog.tableExists(name):
+        spark.sql(
+            f"CREATE TABLE {name} (trip_id BIGINT) USING parquet CLUSTERED BY (trip_id) INTO {int(buckets)} BUCKETS"
+            f" LOCATION '{root}/trip_ids'"
+        )
+    return spark.read.table(name)
+
+
+def _ids_name(root: str) -> str:
+    return f"farelens_trip_ids_{hashlib.md5(root.encode()).hexdigest()}"
+
+
 def load_tables(spark: SparkSession, root: str) -> TripTables:
     """Read tables stored by :func:`write_tables`, without schema inference."""
     stored = dict(SCHEMAS)

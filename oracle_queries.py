@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries, over the driver's tables.
 
 STAR derives the same star schema as farelens.sources.driver_star, by the rules in FIXTURES.md.
-Means are summed as decimals, like the library's ``stable=True`` form.
+Means are sums of whole multiples of 2**-88, exact like the library's ``stable=True`` form.
 """
 
 from __future__ import annotations
@@ -79,11 +79,16 @@ WITH placed AS (
 )"""
 
 
+UNIT = "3.09485009821345068724781056e26"  # 2**88
+
+
+def total(column: str) -> str:
+    # By way of text, which DuckDB turns into the nearest double.
+    return f"cast(cast(sum(cast(cast({column} AS double) * {UNIT} AS hugeint)) AS varchar) AS double) / {UNIT}"
+
+
 def mean(column: str, alias: str) -> str:
-    return (
-        f"coalesce(cast(sum(cast({column} AS decimal(18,6))) AS double)"
-        f" / nullif(count({column}), 0), 0.0) AS {alias}"
-    )
+    return f"coalesce({total(column)} / nullif(count({column}), 0), 0.0) AS {alias}"
 
 
 SECONDS = "epoch(f.trip_duration)"
@@ -152,7 +157,7 @@ FLOWS = f"{ALL_FLOWS} LIMIT 100"
 def rollup(period: str) -> str:
     def weighted(column: str) -> str:
         return (
-            f"round(cast(sum(cast({column} * trip_count AS decimal(18,6))) AS double)"
+            f"round({total(f'{column} * trip_count')}"
             f" / greatest(sum(trip_count), 1), 6) AS {column}"
         )
 
@@ -300,6 +305,19 @@ HEATMAP_DENSE = f"""
     SELECT cast(gx.x AS int) AS x, cast(gy.y AS int) AS y, coalesce(v, 0) AS v, coalesce(intensity, 0e0) AS intensity
     FROM range(24) gx(x) CROSS JOIN range(7) gy(y) LEFT JOIN ({HEATMAP}) h ON h.x = gx.x AND h.y = gy.y"""
 
+HEATMAP_VENDOR = HEATMAP_DENSE.replace("FROM fact_trips GROUP BY", "FROM fact_trips WHERE vendor_key = 7 GROUP BY")
+
+DAYS_IN_ROLES = ", ".join(
+    f"{role}_d.{c} AS {role}_{c}"
+    for role in ("pickup", "dropoff")
+    for c in ("full_date", "year", "month", "day", "day_of_week", "day_name", "month_name", "quarter", "is_weekend")
+)
+PLACES_IN_ROLES = ", ".join(
+    f"{role}_l.{c} AS {role}_{c}"
+    for role in ("pickup", "dropoff")
+    for c in ("location_id", "borough", "zone", "service_zone")
+)
+
 QUERIES = {
     "trip_volume": volume(),
     "trip_volume_month": volume("month"),
@@ -340,6 +358,13 @@ QUERIES = {
     "kpi_trends": f"""
         SELECT {KPI_COLUMNS}
         FROM ({WINDOW_TOTALS}) t, (SELECT max(trip_count) AS busiest FROM ({WINDOW_MONTHS})) m""",
+    "kpi_trends_empty": "SELECT " + ", ".join(
+        f"0e0 AS {name}_{part}" for name in KPI_NAMES for part in ("current", "previous", "trend")
+    ),
+    "kpi_window_totals_empty": "SELECT date '2024-12-31' AS date, cast(0 AS bigint) AS trip_count, 0e0 AS avg_total_amount",
+    "kpi_busiest_month_empty": """
+        SELECT date '2024-12-01' AS date, cast(0 AS bigint) AS trip_count, 0e0 AS avg_total_amount,
+            0e0 AS avg_tip_amount, 0e0 AS avg_trip_distance, 0e0 AS avg_trip_duration_seconds""",
     "kpi_window_totals": WINDOW_TOTALS,
     "kpi_busiest_month": f"""
         SELECT date, trip_count, avg_total_amount, avg_tip_amount, avg_trip_distance, avg_trip_duration_seconds
@@ -355,6 +380,9 @@ QUERIES = {
     "period_rollup_week": rollup("week"),
     "period_rollup_month": rollup("month"),
     "period_rollup_quarter": rollup("quarter"),
+    "period_rollup_month_exact": volume("month"),
+    "period_rollup_week_exact": volume("week"),
+    "financial_breakdown_daily": breakdown("quarter"),
     "monthly_distribution": f"""
         SELECT cast(m.month AS int) AS month, coalesce(cast(floor(p.mean + 0.5) AS bigint), 0) AS avg_trips
         FROM range(1, 13) m(month) LEFT JOIN (
@@ -362,6 +390,7 @@ QUERIES = {
         ) p ON p.month = m.month""",
     "hourly_heatmap": HEATMAP,
     "hourly_heatmap_dense": HEATMAP_DENSE,
+    "hourly_heatmap_vendor": HEATMAP_VENDOR,
     "trend_series": f"""
         WITH r AS ({rollup("month")})
         SELECT date, 'trip_count' AS metric, cast(trip_count AS double) AS value FROM r
@@ -380,6 +409,8 @@ QUERIES = {
     "paged_table": f"SELECT * FROM ({rollup('month')}) ORDER BY date DESC LIMIT 10 OFFSET 20",
     "flow_page": f"""
         SELECT * FROM ({ALL_FLOWS}) ORDER BY trip_count DESC, pickup_borough, dropoff_borough LIMIT 15 OFFSET 15""",
+    "flow_page_after": f"""
+        SELECT * FROM ({ALL_FLOWS}) ORDER BY trip_count DESC, pickup_borough, dropoff_borough LIMIT 15 OFFSET 15""",
     "flow_search": f"""
         SELECT * FROM ({ALL_FLOWS}) WHERE lower(pickup_borough) LIKE '%ri%' AND lower(dropoff_borough) LIKE '%as%'""",
     "dq_field_completeness": FIELD_PCT,
@@ -402,18 +433,15 @@ QUERIES = {
     "trip_duration": """
         SELECT trip_id, cast(epoch(tpep_dropoff_datetime - tpep_pickup_datetime) AS double) AS trip_duration_seconds
         FROM fact_trips""",
-    "trips_enriched": """
-        SELECT f.trip_id, f.fare_amount, f.total_amount, cast(epoch(f.trip_duration) AS double) AS trip_duration_seconds,
-            pd.full_date AS pickup_full_date, pd.day_name AS pickup_day_name, pd.is_weekend AS pickup_is_weekend,
-            dd.full_date AS dropoff_full_date, dd.quarter AS dropoff_quarter,
-            pl.borough AS pickup_borough, pl.zone AS pickup_zone,
-            dl.borough AS dropoff_borough, dl.zone AS dropoff_zone,
-            pt.payment_type_name, rc.rate_code_name, v.vendor_name
+    "trips_enriched": f"""
+        SELECT f.* REPLACE (cast(epoch(f.trip_duration) AS double) AS trip_duration),
+            {DAYS_IN_ROLES}, {PLACES_IN_ROLES},
+            pt.* EXCLUDE (payment_type_key), rc.* EXCLUDE (rate_code_key), v.* EXCLUDE (vendor_key)
         FROM fact_trips f
-        LEFT JOIN dim_date pd ON f.pickup_date_key = pd.date_key
-        LEFT JOIN dim_date dd ON f.dropoff_date_key = dd.date_key
-        LEFT JOIN dim_location pl ON f.pickup_location_key = pl.location_key
-        LEFT JOIN dim_location dl ON f.dropoff_location_key = dl.location_key
+        LEFT JOIN dim_date pickup_d ON f.pickup_date_key = pickup_d.date_key
+        LEFT JOIN dim_date dropoff_d ON f.dropoff_date_key = dropoff_d.date_key
+        LEFT JOIN dim_location pickup_l ON f.pickup_location_key = pickup_l.location_key
+        LEFT JOIN dim_location dropoff_l ON f.dropoff_location_key = dropoff_l.location_key
         LEFT JOIN dim_payment_type pt ON f.payment_type_key = pt.payment_type_key
         LEFT JOIN dim_rate_code rc ON f.rate_code_key = rc.rate_code_key
         LEFT JOIN dim_vendor v ON f.vendor_key = v.vendor_key""",

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
+from farelens.operators import tables
 from farelens.operators.enrich import trips_enriched
 from farelens.plans import kpi, quality, reports
 from tests.conftest import TESTDATA
@@ -32,14 +33,11 @@ GROUPED_REPORTS = (
     "passenger_analysis",
     "zone_activity",
     "borough_flows",
-    "trip_duration_stats",
     "fare_efficiency",
     "kpi_trends",
     "kpi_window_totals",
     "kpi_busiest_month",
     "kpi_period_trend",
-    "period_rollup_week",
-    "monthly_distribution",
     "hourly_heatmap",
 )
 
@@ -144,17 +142,56 @@ def executed_fact_scans(spark, df):
 @pytest.mark.parametrize(
     ("report", "expected"),
     [
-        (reports.trip_duration_stats, 1),
+        # sketch, brackets
+        (reports.trip_duration_stats, 2),
         (lambda t: kpi.kpi_busiest_month(t, year=2001, from_month=6), 1),
-        (quality.outliers, 2),
-        # latest pickup, field counts, ids, consistency, fare histogram
-        (quality.scorecard, 5),
+        # sketch, brackets, the trips above the fence
+        (quality.outliers, 3),
+        # sketch with field counts and latest pickup; brackets; fence, keys and fresh trips. Ids are apart.
+        (quality.scorecard, 3),
+        # sketch with missing values and latest pickup; brackets; trips above the fence; lost pickups. Ids are apart.
+        (quality.alerts, 4),
     ],
 )
 def test_shared_parts_are_computed_once(spark, star, report, expected):
     assert executed_fact_scans(spark, report(star)) == expected
 
 
+def nodes_of(node):
+    yield node
+    for i in range(node.children().size()):
+        yield from nodes_of(node.children().apply(i))
+
+
+def test_ids_in_buckets_are_counted_without_a_shuffle(spark, star, static_plans):
+    report = quality.duplicates(star)
+    assert not [n for n in nodes_of(plan_of(report)) if "Exchange" in n.nodeName()]
+    plain = quality.duplicates(dataclasses.replace(star, trip_ids=None))
+    assert [n for n in nodes_of(plan_of(plain)) if "Exchange" in n.nodeName()]
+    assert sorted(report.collect()) == sorted(plain.collect()) != []
+
+
+def test_consistency_joins_no_trips(star, static_plans):
+    fact_paths = [p for p in paths(plan_of(quality.scorecard(star))) if "fact_trips" in p[-1]]
+    assert fact_paths
+    for path in fact_paths:
+        marks = [n for n in reversed(path[:-1]) if "Aggregate" in n or "Join" in n]
+        assert "Aggregate" in marks[0], path
+
+
+@pytest.mark.parametrize("name", sorted(registry.DAILY_REPORTS))
+def test_daily_reports_read_no_trips(spark, name):
+    days = registry.stage_daily(spark, TESTDATA)
+    report = registry.DAILY_REPORTS[name](days)
+    assert executed_fact_scans(spark, report) == 0
+
+
+def test_pages_by_key_sort_no_more_than_a_page(star):
+    flows = reports.borough_flows(star, top_n=None)
+    last = {"trip_count": 10, "pickup_borough": "ASIA", "dropoff_borough": "ASIA"}
+    assert "TakeOrderedAndProject" in plan_of(tables.flow_page_after(flows, last)).toString()
+
+
 def test_a_hot_vendor_is_split_when_vendors_cannot_be_broadcast(spark, star):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import duckdb
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 import oracle_queries
-from farelens.functions.measures import exact_sum
+from farelens.functions.measures import finished, mean_parts, merge_parts
+from farelens.plans.daily import daily_states
 from farelens.sources.driver_star import raw_pickups
 from farelens.sources.schema import SCHEMAS, TripTables
-from tests.conftest import rows
 
 
 def random_trips(seed, n=700):
@@ -119,15 +120,20 @@ def _frames(spark, seed):
 BY_CALENDAR_YEAR = {"payment_analysis_years"}
 
 
+NAMES = [*registry.REPORTS, *registry.RAW_REPORTS, *registry.DAILY_REPORTS]
+
+
 def normal(values):
     return tuple(round(v, 6) if isinstance(v, float) else v for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries().keys() - BY_CALENDAR_YEAR))
+@pytest.mark.parametrize("name", sorted(set(NAMES) - BY_CALENDAR_YEAR))
 def test_matches_duckdb(both, name):
     tables, con = both
     if name in registry.RAW_REPORTS:
         report = registry.RAW_REPORTS[name](tables, raw_pickups(tables))
+    elif name in registry.DAILY_REPORTS:
+        report = registry.DAILY_REPORTS[name](daily_states(tables))
     else:
         report = registry.REPORTS[name](tables)
     expected = con.sql(oracle_queries.QUERIES[name])
@@ -138,7 +144,54 @@ def test_matches_duckdb(both, name):
     assert got == want
 
 
-def test_exact_sum(spark):
-    values = [0.1] * 1000 + [-0.1] * 999 + [1e9 + 0.000001, -2.5, None]
+rng_ = random.Random(3)
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [0.1] * 1000 + [-0.1] * 999 + [1e9 + 0.000001, -2.5, None],
+        [1e-7] * 1000,
+        [rng_.randint(-5000, 9000) / 100 for _ in range(999)],
+        [rng_.uniform(-1, 1) * 10 ** rng_.randint(-9, 11) for _ in range(500)],
+        [1e19, 1.0, -1e19, 3.5],
+        [1e12 + 0.3, -1e12, 0.1] * 50,
+        [1 / 3] * 3,
+        [-0.0, 0.0],
+        [None],
+    ],
+)
+def test_exact_sum(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
-    assert str(rows(df.agg(exact_sum(F.col("v"))))[0][0]) == "999999997.600001"
+    got = finished(df.agg(*mean_parts(["v"], True)), ["v"], sums=True).first()[0]
+    wanted = math.fsum(v for v in values if v is not None) if values != [None] else None
+    assert got == wanted
+
+
+@pytest.mark.parametrize(
+    "values, wanted",
+    [
+        ([1.0, math.nan], math.nan),
+        ([1.0, math.inf, 2.5], math.inf),
+        ([math.inf, -math.inf], math.nan),
+        ([1e300, 1.0, -1e300], 1.0),
+        ([1e300], 1e300),
+    ],
+)
+def test_exact_sum_of_what_is_not_cut_into_pieces(spark, values, wanted):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    got = finished(df.agg(*mean_parts(["v"], True)), ["v"], sums=True).first()[0]
+    assert got == wanted or math.isnan(got) and math.isnan(wanted)
+
+
+@pytest.mark.parametrize("stable", [False, True])
+def test_parts_of_groups_merge_to_the_parts_of_all(spark, stable):
+    rng = random.Random(9)
+    values = [None if rng.random() < 0.1 else rng.uniform(-1, 1) * 10 ** rng.randint(-8, 11) for _ in range(600)]
+    df = spark.createDataFrame([(i % 7, i % 2, v) for i, v in enumerate(values)], "a int, b int, m double")
+    parts = df.groupBy("a", "b").agg(*mean_parts(["m"], stable)).repartition(3)
+    merged = parts.groupBy("b").agg(*merge_parts(parts))
+    for b, got in finished(merged, ["m"]).collect():
+        present = [v for i, v in enumerate(values) if i % 2 == b and v is not None]
+        wanted = math.fsum(present) / len(present)
+        assert got == wanted if stable else got == pytest.approx(wanted)

@@ -26,11 +26,15 @@ def duck():
     return con
 
 
+# Sketches draw at random; tests/test_daily.py holds them against exact ranks.
+WITHOUT_SQL = {"trip_duration_sketch"}
+
+
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.keys() - WITHOUT_SQL == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - WITHOUT_SQL))
 def test_matches_duckdb(spark, duck, name):
     report = QUERIES[name](spark, SF_DIR)
     expected = duck.sql(ORACLE[name])

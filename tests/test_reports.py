@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from farelens.operators.distribution import distribution, value_histogram
+from farelens.operators.distribution import distribution
 from farelens.plans import kpi, reports
 from tests.conftest import rows
 
@@ -250,7 +250,7 @@ def brute_quantile(values, p):
 def test_distribution_equals_brute_force(spark, values):
     fractions = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    got = distribution(value_histogram(df, F.col("v")), fractions).first()
+    got = distribution(df.toDF("value"), fractions).first()
     assert got["rows"] == len(values)
     assert (got["lowest"], got["highest"]) == (min(values), max(values))
     assert got["mean"] == pytest.approx(sum(values) / len(values))
@@ -259,7 +259,7 @@ def test_distribution_equals_brute_force(spark, values):
 
 def test_distribution_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
-    got = distribution(value_histogram(df, F.col("v"))).first()
+    got = distribution(df.toDF("value")).first()
     assert (got["rows"], got["mean"], got["quantiles"]) == (0, None, [None, None, None])
 
 

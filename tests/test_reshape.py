@@ -129,3 +129,21 @@ def test_calendar(spark):
     assert calendar(spark, dt.date(2024, 3, 1), dt.date(2024, 2, 1)).count() == 0
     assert rows(calendar_of(days, "full_date")) == rows(days)
     assert calendar_of(days.limit(0), "full_date").count() == 0
+
+
+def test_pages_by_key_equal_pages_by_offset(spark):
+    flows = spark.createDataFrame(
+        [(n, p, d) for n in (None, 5, 5, 9, 1) for p in ("A", None, "B") for d in ("x", "y")],
+        "trip_count long, pickup_borough string, dropoff_borough string",
+    ).distinct()
+    order = [F.desc("trip_count"), F.asc("pickup_borough"), F.asc("dropoff_borough")]
+    last, seen = None, []
+    for page in range(7):
+        by_key = rows(tables.flow_page_after(flows, last, size=4))
+        assert by_key == rows(tables.paged_table(flows, order, page, 4))
+        seen += by_key
+        if by_key:
+            last = dict(zip(flows.columns, by_key[-1]))
+    assert len(seen) == flows.count() == 24
+    with pytest.raises(ValueError):
+        tables.flow_page_after(flows, size=0)
