@@ -2,20 +2,24 @@
 
 Within each (language, source) group the transformed statistics of the texts that pass the base rule
 are fitted by the minimum covariance determinant: the three quarters of the rows that lie closest
-to the centre give mean and covariance, and concentration steps repeat this until no fit changes. A row
+to the centre give mean and covariance, and concentration steps repeat this until the fit changes no more. A row
 is rejected if its squared Mahalanobis distance is above a chi-squared quantile.
 
+- A step is one pass: rows are added up by group and bin of distance (count, sums, sums of products), and the sums
+  of the bins that make up the closest three quarters are added up again. No row is measured twice, sorted, or
+  moved to another task. A group whose fit has settled takes no part in later steps.
 - All sums are taken over whole numbers (statistics in units of 1/1000), so they do not depend on the order of
-  tasks and partial sums need no care.
-- "The closest three quarters" are found from a histogram of distances per group: no group is sorted.
-- A variance is never taken below a floor per statistic. Statistics that are zero in nearly all texts
-  would otherwise have no spread at all and reject the first text that differs.
+  tasks. Statistics are at most 100 for that reason.
+- The covariance of the closest three quarters of a normal sample is too small by a known factor (``CONSISTENCY``),
+  by which it is multiplied, so squared distances of regular rows follow the chi-squared distribution.
+- Each variance has a floor added to it. Statistics that are zero in nearly all texts would otherwise have
+  no spread at all and reject the first text that differs.
 - Groups with few rows take the estimate of their language, then that of all rows, in this order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelens.llm.common import BLANKS, stored, words
@@ -33,8 +37,11 @@ STATISTICS = {
     "repeats": 0.05,  # share of words in repeated windows
 }
 SHARE = 0.75  # of the rows of a group that a fit is made from
-LEAST_ROWS = 60
+# SHARE / P(chi-squared of 9 degrees of freedom <= q), where q is the SHARE quantile of that of 7.
+CONSISTENCY = 1.3247
+LEAST_ROWS = 60  # of a group for a fit of its own
 CUTOFF = 42.0  # squared distance; chi-squared with 7 degrees of freedom exceeds it once in 2 million
+MOST = 100  # of a statistic
 BINS_PER_UNIT = 20  # of the log of squared distances
 WINDOW_WORDS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -122,7 +129,7 @@ def base_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...
 
 
 def _statistics() -> dict[str, Column]:
-    """Each statistic in whole units of 1/1000."""
+    """Each statistic in whole units of 1/1000, ``MOST`` at most."""
 
     def share(part: str, whole: str) -> Column:
         return F.col(part) / F.greatest(F.col(whole), F.lit(1))
@@ -136,125 +143,107 @@ def _statistics() -> dict[str, Column]:
         "copied_lines": share("n_dup_lines", OWN + "lines"),
         "repeats": share("n_repeat_words", "n_words"),
     }
-    return {name: F.round(value * UNIT).cast("long") for name, value in values.items()}
+    return {name: F.least(F.round(value * UNIT), F.lit(MOST * UNIT)).cast("long") for name, value in values.items()}
 
 
 NAMES = tuple(STATISTICS)
-PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
-
-
-def _sums(rows: DataFrame) -> DataFrame:
-    whole = [F.col("x_" + n) for n in NAMES]
-    return rows.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(x).alias(f"s{i}") for i, x in enumerate(whole)],
-        *[F.sum((whole[i] * whole[j]).cast("decimal(20,0)")).alias(f"p{i}_{j}") for i, j in PAIRS],
+SIZE = len(NAMES)
+PAIRS = [(i, j) for i in range(SIZE) for j in range(i + 1)]
+SUMS = ["n", *[f"s{i}" for i in range(SIZE)], *[f"p{i}_{j}" for i, j in PAIRS]]
+
+
+def squared_distance(fit: str = "fit") -> str:
+    """SQL of the squared Mahalanobis distance of a row under ``fit``, a record of ``mean`` and ``inverse``."""
+    centred = [f"(x_{name} / {UNIT}D - {fit}.mean[{i}])" for i, name in enumerate(NAMES)]
+    terms = [
+        f"{1 if i == j else 2} * {fit}.inverse[{i * SIZE + j}] * {centred[i]} * {centred[j]}" for i, j in PAIRS
+    ]
+    return f"greatest({' + '.join(terms)}, 0D)"
+
+
+def _inverse(matrix: str) -> str:
+    """SQL of the inverse of a positive definite matrix, an array row by row: one Gauss-Jordan step a diagonal
+    entry. The floors keep each of these entries away from zero."""
+    row, column, pivot = f"(ij div {SIZE})", f"(ij % {SIZE})", f"a[int(k * {SIZE + 1})]"
+    left, above = f"a[int({row} * {SIZE} + k)]", f"a[int(k * {SIZE} + {column})]"
+    step = (
+        f"CASE WHEN {row} = k AND {column} = k THEN 1 / v WHEN {row} = k THEN v / {pivot}"
+        f" WHEN {column} = k THEN -v / {pivot} ELSE v - {left} * {above} / {pivot} END"
     )
+    return f"aggregate(sequence(0, {SIZE - 1}), {matrix}, (a, k) -> transform(a, (v, ij) -> {step}))"
 
 
-def _fit(sums: DataFrame) -> DataFrame:
-    """Means and the lower Cholesky factor of the covariance of each group, in units of 1."""
-    n = F.col("n").cast("double")
-    size = len(NAMES)
-    mean = {i: F.col(f"s{i}").cast("double") / n / UNIT for i in range(size)}
-    floor = [STATISTICS[name] ** 2 for name in NAMES]
-    out = sums.select(
-        "group",
-        *[mean[i].alias(f"m{i}") for i in mean],
-        *[
-            (F.col(f"p{i}_{j}").cast("double") / n / UNIT / UNIT - mean[i] * mean[j] + F.lit(floor[i] * (i == j))).alias(
-                f"c{i}_{j}"
-            )
-            for i, j in PAIRS
-        ],
-    )
+def fits_of(sums: DataFrame) -> DataFrame:
+    """``(group, fit)`` from the count, sums and sums of products of the rows that a fit is made from."""
+    variances = [STATISTICS[name] ** 2 for name in NAMES]
 
-    def rest(i: int, j: int) -> Column:
-        left = F.col(f"c{i}_{j}")
-        for k in range(j):
-            left = left - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        return left
-
-    for j in range(size):  # column by column: an entry needs the columns before and its own diagonal
-        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(floor[j]))))
-        below = {f"l{i}_{j}": rest(i, j) / F.col(f"l{j}_{j}") for i in range(j + 1, size)}
-        if below:
-            out = out.withColumns(below)
-    return out.select("group", *[f"m{i}" for i in range(size)], *[f"l{i}_{j}" for i, j in PAIRS])
-
-
-def _distances(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """``rows`` of groups with a fit, with d2, the squared Mahalanobis distance under it."""
-    joined = rows.join(fits, "group")
-    total = F.lit(0.0)
-    for i, name in enumerate(NAMES):
-        rest = F.col("x_" + name) / UNIT - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}_{k}") * F.col(f"y{k}")
-        joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
-        total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return joined.select(*rows.columns, total.alias("d2"))
-
-
-def _closest(measured: DataFrame) -> DataFrame:
-    """The rows of each group up to the bin of distances that completes ``SHARE`` of it."""
-    binned = measured.withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_UNIT))
-    group = Window.partitionBy("group")
-    up_to = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    limits = (
-        binned.groupBy("group", "bin")
-        .agg(F.count(F.lit(1)).alias("rows_in_bin"))
-        .withColumn("up_to", F.sum("rows_in_bin").over(up_to))
-        .withColumn("all_rows", F.sum("rows_in_bin").over(group))
-        .where(F.col("up_to") >= F.col("all_rows") * SHARE)
-        .groupBy("group")
-        .agg(F.min("bin").alias("last_bin"))
+    def covariance(i: int, j: int) -> str:
+        i, j = max(i, j), min(i, j)
+        floor = variances[i] if i == j else 0.0
+        spread = f"(p{i}_{j} / n - (s{i} / n) * (s{j} / n)) / {float(UNIT**2)!r}D"
+        return f"{spread} * {CONSISTENCY!r}D + {floor!r}D"
+
+    matrix = ", ".join(covariance(i, j) for i in range(SIZE) for j in range(SIZE))
+    means = ", ".join(f"s{i} / n / {UNIT}D" for i in range(SIZE))
+    return sums.selectExpr("group", f"array({means}) AS mean", f"array({matrix}) AS c").selectExpr(
+        "group", f"struct(mean, {_inverse('c')} AS inverse) AS fit"
     )
-    return binned.join(limits, "group").where(F.col("bin") <= F.col("last_bin")).select(*measured.columns)
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """First fit: medians, and spreads from the quartiles, without correlation.
+    """First fits: medians, and spreads from the quartiles, without correlation.
 
-    Statistics are whole thousandths, so the exact quartiles count few distinct values a group.
+    Statistics are whole thousandths with a limit, so the exact quartiles count few distinct values a group.
     """
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = rows.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), *[F.percentile("x_" + n, at).alias(f"q{i}") for i, n in enumerate(NAMES)]
-    )
+    quartiles = [f"percentile(x_{name}, array(0.25, 0.5, 0.75)) AS q{i}" for i, name in enumerate(NAMES)]
+    found = rows.groupBy("group").agg(*[F.expr(q) for q in quartiles])
+    means = ", ".join(f"q{i}[1] / {UNIT}D" for i in range(SIZE))
 
-    def factor(i: int, j: int) -> Column:
+    def entry(i: int, j: int) -> str:
         if i != j:
-            return F.lit(0.0)
-        spread = (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * UNIT)
-        return F.greatest(spread, F.lit(STATISTICS[NAMES[i]]))
-
-    return quartiles.where(F.col("n") >= LEAST_ROWS).select(
-        "group",
-        *[(F.col(f"q{i}")[1] / UNIT).alias(f"m{i}") for i in range(len(NAMES))],
-        *[factor(i, j).alias(f"l{i}_{j}") for i, j in PAIRS],
-    )
+            return "0D"
+        spread = f"(q{i}[2] - q{i}[0]) / {1.349 * UNIT!r}D"
+        return f"1 / ({spread} * {spread} + {STATISTICS[NAMES[i]] ** 2!r}D)"
+
+    inverse = ", ".join(entry(i, j) for i in range(SIZE) for j in range(SIZE))
+    return found.selectExpr("group", f"struct(array({means}) AS mean, array({inverse}) AS inverse) AS fit")
 
 
 def step(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """One concentration step: the fits of the rows that are closest under ``fits``."""
-    return _fit(_sums(_closest(_distances(rows, fits))))
+    """One concentration step: ``(group, fit)`` of the rows of each group that are closest under ``fits``, up to the
+    bin of distances that completes ``SHARE`` of the group."""
+    measured = rows.join(fits, "group").selectExpr(
+        "group", *[f"x_{name}" for name in NAMES], f"int(ln(1 + {squared_distance()}) * {BINS_PER_UNIT}) AS bin"
+    )
+    sums = [f"sum(x_{name}) AS s{i}" for i, name in enumerate(NAMES)]
+    sums += [f"sum(x_{NAMES[i]} * x_{NAMES[j]}) AS p{i}_{j}" for i, j in PAIRS]
+    bins = measured.groupBy("group", "bin").agg(F.expr("count(1) AS n"), *[F.expr(s) for s in sums])
+    before = "sum(n) OVER (PARTITION BY group ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n"
+    whole = "sum(n) OVER (PARTITION BY group)"
+    closest = bins.selectExpr("*", f"{before} AS before", f"{whole} AS whole").where(f"before < {SHARE!r}D * whole")
+    return fits_of(closest.groupBy("group").agg(*[F.expr(f"sum({c}) AS {c}") for c in SUMS]))
 
 
 def robust_fits(rows: DataFrame) -> DataFrame:
-    """The minimum-covariance-determinant fit of each group with at least ``LEAST_ROWS`` rows.
+    """``(group, fit)``: the minimum-covariance-determinant fit of each group of ``rows`` (group, x_...).
 
-    Steps end when they lead to fits that were there before, which is when no fit changes any more, or
-    when fits alternate: rows are taken by bins of distances, so a group can go round a few sets of rows.
+    A group has settled when a step leads to a fit that it had before: the same, or, since rows are taken by
+    whole bins of distances, one of a few that alternate. Others go on.
     """
-    fits = stored(_start(rows))
-    seen = set()
+    open_ = stored(_start(rows).withColumn("seen", F.array(F.xxhash64("fit"))))
+    settled = None
     while True:
-        state = fits.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*fits.columns).cast("decimal(38,0)"))).first()
-        if tuple(state) in seen:
-            return fits
-        seen.add(tuple(state))
-        fits = stored(step(rows, fits))
+        new = step(rows, open_.select("group", "fit")).withColumn("mark", F.xxhash64("fit"))
+        moved = stored(
+            new.join(open_.select("group", "seen"), "group").selectExpr(
+                "group", "fit", "array_contains(seen, mark) AS done", "concat(seen, array(mark)) AS seen"
+            )
+        )
+        done = moved.where("done").select("group", "fit")
+        settled = done if settled is None else settled.union(done)
+        open_ = moved.where("NOT done").select("group", "fit", "seen")
+        if open_.isEmpty():
+            return stored(settled)
 
 
 def _groups(lang: Column, source: Column) -> list[Column]:
@@ -263,6 +252,43 @@ def _groups(lang: Column, source: Column) -> list[Column]:
     return [F.to_json(F.array(*named)), F.to_json(F.array(named[0])), F.lit("[]")]
 
 
+def _choices(sound: DataFrame, least_rows: int) -> DataFrame:
+    """``(g0, group)``: for each finest group the finest of its groups with ``least_rows`` rows."""
+    sizes = sound.groupBy("g0", "g1", "g2").agg(F.count(F.lit(1)).alias("n0"))
+    rough = [f"sum(n0) OVER (PARTITION BY g{k}) AS n{k}" for k in (1, 2)]
+    chosen = "".join(f" WHEN n{k} >= {int(least_rows)} THEN g{k}" for k in range(3))
+    return sizes.selectExpr("*", *rough).selectExpr("g0", f"CASE{chosen} END AS group")
+
+
+def _judged(
+    docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str, cutoff: float, least_rows: int
+) -> DataFrame:
+    """The columns ``keep`` as the record ``_q_row``, with the base counts, base_failed, d2 and kept of each row.
+
+    The verdict is found on the row itself, whatever its id.
+    """
+    levels = _groups(F.col(lang_col).cast("string"), F.col(source_col).cast("string"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    named = docs.select(
+        row.alias(OWN + "row"), F.col(text_col).alias(OWN + "text"), *[g.alias(f"g{k}") for k, g in enumerate(levels)]
+    )
+    counted = base_counts(named, text_col=OWN + "text", keep=(OWN + "row", "g0", "g1", "g2"))
+    rows = stored(counted.select("*", *[value.alias("x_" + name) for name, value in _statistics().items()]))
+    statistics = ["x_" + name for name in NAMES]
+    sound = rows.where("NOT base_failed").select("g0", "g1", "g2", *statistics)
+    choices = stored(_choices(sound, least_rows).where("group IS NOT NULL"))
+    # A row counts in each of its groups that some row will be judged by.
+    wanted = choices.select("group").distinct()
+    every = sound.select(F.explode(F.array("g0", "g1", "g2")).alias("group"), *statistics)
+    fits = robust_fits(stored(every.join(wanted, "group", "left_semi")))
+    # Stored, so that Spark knows how small it is and need not move rows, which may carry texts, to join it.
+    own = stored(choices.join(fits, "group").select(F.col("g0").alias("of"), "fit"))
+    measured = rows.join(own, F.col("g0") == F.col("of"), "left")
+    distance = F.when(~F.col("base_failed") & F.col("fit").isNotNull(), F.expr(squared_distance()))
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
+    return measured.withColumn("d2", distance).withColumn("kept", verdict)
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -271,44 +297,32 @@ def judge(
     lang_col: str = "lang",
     source_col: str = "source",
     cutoff: float = CUTOFF,
+    least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, base_failed, distance, kept.
 
-    ``kept`` is false where base_failed, else true unless the squared distance is above ``cutoff``.
+    ``kept`` is false where base_failed, else true unless the squared distance is above ``cutoff``. A group
+    of language and source with less than ``least_rows`` rows that pass the base rule is judged by its
+    language's fit, then by that of all rows.
+
     NULL and blank texts have no words and fail the base rule; a NULL language or source is a group of
     its own; repeated rows count each; with too few rows for any fit all that pass the base rule are
     kept; an empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    named = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.array(*_groups(F.col(lang_col).cast("string"), F.col(source_col).cast("string"))).alias(OWN + "groups"),
-        F.col(text_col).alias(OWN + "text"),
-    )
-    counted = base_counts(named, text_col=OWN + "text", keep=("doc_id", OWN + "groups"))
-    rows = stored(counted.select("*", *[value.alias("x_" + name) for name, value in _statistics().items()]))
-    sound = rows.where("NOT base_failed")
-    every = sound.select(F.explode(OWN + "groups").alias("group"), *["x_" + n for n in NAMES])
-    fits = robust_fits(every)
-    fitted = fits.select(F.col("group").alias("g"), F.lit(True).alias("has"))
-    # The finest group with a fit; fits are few and short, rows are not moved for them unless they are many.
-    for level in range(3):
-        own = fitted.select(F.col("g").alias(f"g{level}"), F.col("has").alias(f"has{level}"))
-        sound = sound.join(own, F.col(OWN + "groups")[level] == F.col(f"g{level}"), "left")
-    group = F.coalesce(*[F.when(F.col(f"has{k}"), F.col(OWN + "groups")[k]) for k in range(3)], F.lit(""))
-    chosen = sound.withColumn("group", group)
-    empty = F.lit(None).cast("double").alias("d2")
-    names = ["doc_id", *COUNTS, "base_failed"]
-    judged = (
-        rows.where("base_failed")
-        .select(*names, empty)
-        .union(chosen.where("group = ''").select(*names, empty))
-        .union(_distances(chosen.where("group != ''"), fits).select(*names, "d2"))
-    )
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
-    return judged.select(*names, F.sqrt("d2").alias("distance"), kept.alias("kept"))
+    judged = _judged(docs, [id_col], text_col, lang_col, source_col, cutoff, least_rows)
+    named = F.col(OWN + "row")[id_col].alias("doc_id")
+    return judged.select(named, *COUNTS, "base_failed", F.sqrt("d2").alias("distance"), "kept")
 
 
-def drop_rejected(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose id ``judge`` rejects; rows without an id stay."""
-    gone = judge(docs, **options).where("NOT kept").select(F.col("doc_id").alias(OWN + "gone")).distinct()
-    return docs.join(gone, F.col(options.get("id_col", "doc_id")) == F.col(OWN + "gone"), "left_anti")
+def drop_rejected(
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    cutoff: float = CUTOFF,
+    least_rows: int = LEAST_ROWS,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, each judged by itself, whatever its id."""
+    judged = _judged(docs, docs.columns, text_col, lang_col, source_col, cutoff, least_rows)
+    return judged.where("kept").select(OWN + "row.*")
