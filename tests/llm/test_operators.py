@@ -231,10 +231,6 @@ def test_quality_rejects_shouted_texts_and_settles(spark):
     counts = quality.base_counts(table)
     for r in counts.collect():
         assert r["_q_capitals"] == sum(c.isupper() for c in texts[r["doc_id"]])
-    noise = np.random.default_rng(4).normal(0, 100, (300, len(quality.NAMES))).round().astype(int).tolist()
-    rows = spark.createDataFrame([("g", *x) for x in noise], ["group", *["x_" + n for n in quality.NAMES]])
-    fits = quality.robust_fits(rows)
-    assert quality.step(rows, fits).collect() == fits.collect()
 
 
 @pytest.mark.parametrize("most, chunk", [(5000, 2_000_000), (5000, 50), (1, 50)])
@@ -308,6 +304,28 @@ def test_passages_meet_past_smaller_documents_with_a_part(spark):
     assert all(r["n_words"] == 55 and r["start_word"] == 70 for r in found)
 
 
+def test_two_texts_are_linked_by_each_passage_they_share(spark):
+    rng = random.Random(13)
+    texts, wanted = [], set()
+    for _ in range(4):
+        first, second = drawn_words(rng, 70), drawn_words(rng, 55)
+        texts += [drawn_words(rng, 60) + second[at : at + 48] + drawn_words(rng, 60) for at in (0, 4, 7)]
+        pair = len(texts), len(texts) + 1
+        wanted |= {(*pair, 70), (*pair, 55)}
+        texts += [drawn_words(rng, 70) + first + drawn_words(rng, 70) + second + drawn_words(rng, 9) for _ in range(2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    ends = lambda r: (min(r["doc_id"], r["other_id"]), max(r["doc_id"], r["other_id"]), r["n_words"])
+    assert {ends(r) for r in found} == wanted
+
+
+def test_a_text_of_one_word_is_one_node():
+    codes = passages.shingle_codes(passages.word_codes("again " * 8000))
+    assert len(passages.compact_windows(codes)) == 1
+    mixed_text = "one two three four five six " * 30 + "again " * 4000 + "seven eight nine ten eleven twelve " * 30
+    assert len(passages.compact_windows(passages.shingle_codes(passages.word_codes(mixed_text)))) < 120
+
+
 def test_alignment_bridges_what_stays_similar():
     rng = random.Random(12)
     codes = lambda ws: passages.shingle_codes(passages.word_codes(" ".join(ws)))
