@@ -14,9 +14,14 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where that is unset a folder in the warehouse, which is shared too."""
+    """``spark.checkpoint.dir``. Where that is unset, as in tests on one machine, a folder in the warehouse; on a
+    cluster the warehouse may be a folder of the driver's own disk, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm"
 
 
 def stored(df: DataFrame, *, compression: str | None = None) -> DataFrame:
