@@ -45,10 +45,7 @@ def derive_star(spark: SparkSession, sf_dir: str) -> TripTables:
 
 
 def stage_star(spark: SparkSession, sf_dir: str) -> TripTables:
-    """The six tables, written once per application to the shared checkpoint folder and read back.
-
-    Without a shared folder on a cluster the lazy plans are returned as they are.
-    """
+    """The six tables, written once per application to the shared checkpoint folder and read back."""
     return _stage(spark, sf_dir)[0]
 
 
@@ -84,9 +81,14 @@ def _stage(spark: SparkSession, sf_dir: str) -> tuple[TripTables, str]:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where that is unset a folder in the warehouse, which is shared too."""
+    """``spark.checkpoint.dir``. Where that is unset a folder in the warehouse, on one machine only: on a cluster the
+    warehouse may be a folder of the driver's own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_farelens"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_farelens"
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
