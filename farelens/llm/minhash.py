@@ -4,13 +4,20 @@
    range is cut into bins, each bin keeps its least value, and an empty bin borrows the value of a
    full one found by a fixed random walk (optimal densification).
 2. Rows with equal sets are one class; only the row with the smallest id goes on.
-3. Each band of the signature is a bucket key. A bucket offers edges from its pivots to members of
-   other components. The first pivot is the smallest id.
-4. Offered edges are confirmed on the full sets. Members of a bucket that are still in different
-   components meet again under further pivots, until each bucket is one component or all its members
-   have been pivot. So a bucket of one component, however large, costs one edge a row; only members
-   that stay unlinked are compared with each other.
-5. Components of the confirmed links give each row the smallest id it reaches.
+3. Each band of the signature is a bucket key. In a few rounds each bucket offers edges from one pivot to its
+   members of other components, the first time from the smallest id, then from drawn ones. So a bucket of one
+   component, however large, costs one edge a row and round.
+4. Offered edges are confirmed on the full sets; confirmed links make components, and buckets of a single one
+   are done.
+5. What is still open, such as texts that share a template, is compared by fine prints: four more one-permutation
+   signatures, a byte a bin. Crowded buckets are first split by bands of these. A task holds two blocks of a
+   bucket and puts out only the pairs of different components whose prints agree as those of similar texts
+   do. So no pair of dissimilar texts is ever a row. These pairs are confirmed on the full sets, too.
+6. Components of all confirmed links give each row the smallest id it reaches.
+
+A pair of similarity 0.75 is missed, if nothing else links it, where no band agrees (probability 5e-6), where its
+prints agree by chance as those of texts below 0.65 (about 3e-7), or, in crowded buckets only, in no band of
+the prints (6e-8).
 """
 
 from __future__ import annotations
@@ -18,12 +25,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farelens.llm.common import stored
-from farelens.llm.graph import components, open_members, pivots
+from farelens.llm.graph import components, open_members
 from farelens.llm.shingles import mixed, overlap, shingle_set
 
 BANDS = 32
@@ -32,6 +39,13 @@ BINS = BANDS * ROWS
 PROBES = 64
 SIMILARITY = 75  # per cent
 PIECE = 256
+STAR_ROUNDS = 3
+PRINTS = 4  # further signatures, of BINS bytes each
+PRINT_BYTES = PRINTS * BINS
+PRINT_ROWS = 6  # bytes of a band of the prints
+CROWDED = 1_024  # members of an open bucket that is split by these bands
+BLOCK = 512  # members of a bucket that one task compares with as many others
+DEVIATIONS = 5  # of the estimated similarity that a pair may lie below the wanted one
 
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 # A fixed walk over the bins for each empty bin; a bin and an attempt give the same place in every text.
@@ -123,6 +137,14 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     return with_texts.mapInPandas(run, "u long, v long")
 
 
+def _pivots(members: DataFrame, attempt: int) -> DataFrame:
+    """One pivot of each bucket: first the smallest id, then one drawn from the bucket's largest component."""
+    drawn = F.xxhash64(F.lit(attempt), "key", "id") if attempt else F.lit(0).cast("long")
+    wanted = members if not attempt else members.where("root = big")
+    least = wanted.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "id", "root")).alias("pivot"))
+    return least.select("key", "pivot.id", "pivot.root")
+
+
 def _star_edges(members: DataFrame, chosen: DataFrame) -> DataFrame:
     """Edges from each bucket's pivots to its members in other components. Both: (key, id, root)."""
     centres = chosen.select("key", F.col("id").alias("pivot_id"), F.col("root").alias("pivot_root"))
@@ -130,6 +152,97 @@ def _star_edges(members: DataFrame, chosen: DataFrame) -> DataFrame:
     return offered.select(F.greatest("id", "pivot_id").alias("u"), F.least("id", "pivot_id").alias("v")).distinct()
 
 
+def fine_print(shingles: np.ndarray) -> np.ndarray:
+    """``PRINT_BYTES`` bytes; those of two texts agree with about the probability of their similarity."""
+    seeds = mixed(np.arange(1, PRINTS + 1, dtype=np.uint64))
+    bins = [mixed(signature(np.sort(mixed(shingles ^ seed)))) for seed in seeds]
+    return (np.concatenate(bins) >> np.uint64(56)).astype(np.uint8)
+
+
+def _prints(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, print) of the texts that still have an open bucket."""
+    wanted = texts.join(members.select("id").distinct(), "id", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            made = [fine_print(shingle_set(t)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "print"])
+
+    return stored(wanted.select("id", "t").mapInArrow(run, "id long, print binary"))
+
+
+def _split(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """``members`` (key, id, root) with crowded buckets replaced by those of equal bands of prints within them."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    small = members.join(sizes.where(F.col("n") <= CROWDED).select("key"), "key")
+    crowded = members.join(sizes.where(F.col("n") > CROWDED).select("key"), "key").join(prints, "id")
+    cut = f"substring(print, at * {PRINT_ROWS} + 1, {PRINT_ROWS})"
+    bands = F.expr(f"transform(sequence(0, {PRINT_BYTES // PRINT_ROWS - 1}), at -> xxhash64(key, at, {cut}))")
+    banded = crowded.select("id", "root", F.explode(bands).alias("key"))
+    full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return small.select("key", "id", "root").union(banded.join(full, "key").select("key", "id", "root"))
+
+
+def _close_pairs(members: DataFrame, prints: DataFrame, similarity: int) -> DataFrame:
+    """(u, v), each once: members of a bucket in different components whose prints are close enough."""
+    split = stored(_split(members, prints))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = split.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = split.join(sizes, "key").withColumn("own", own)
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    tiles = placed.select("key", "id", "root", "own", F.explode(others).alias("other")).select(
+        "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "root"
+    )
+    wanted = similarity / 100
+    agreeing = wanted - DEVIATIONS * np.sqrt(wanted * (1 - wanted) / PRINT_BYTES)
+    least = PRINT_BYTES * (agreeing + (1 - agreeing) / 256)  # unequal bins agree in a byte by chance
+
+    def compared(tile: list, one_block: bool) -> pa.RecordBatch:
+        ids, roots, own, prints_ = (np.concatenate(part) for part in zip(*tile))
+        u, v = [], []
+        left = np.flatnonzero(own == own.min())
+        right = np.flatnonzero(own == own.max())
+        if not one_block and own.min() == own.max():
+            left = left[:0]  # the other block of the tile has no members
+        present, counts = np.unique(roots, return_counts=True)
+        big = present[counts.argmax()]  # its members meet the others when those are held against them
+        for i in left if len(present) > 1 else ():
+            if one_block and roots[i] == big:
+                continue
+            against = right[roots[right] != roots[i]]
+            if one_block:
+                against = against[(against > i) | (roots[against] == big)]
+            if len(against):
+                near = against[(prints_[against] == prints_[i]).sum(axis=1) >= least]
+                u += np.maximum(ids[i], ids[near]).tolist()
+                v += np.minimum(ids[i], ids[near]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches):
+        at, tile = None, []
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(start, PIECE)
+                keys = np.stack([piece.column(k).to_numpy() for k in range(3)], axis=1)
+                columns = [piece.column(k).to_numpy() for k in (4, 5, 3)]
+                columns.append(np.frombuffer(b"".join(piece.column(6).to_pylist()), np.uint8).reshape(-1, PRINT_BYTES))
+                edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+                for first, last in zip(edges, edges[1:]):
+                    key = tuple(keys[first].tolist())
+                    if key != at:
+                        if tile:
+                            yield compared(tile, at[1] == at[2])
+                        at, tile = key, []
+                    tile.append([c[first:last] for c in columns])
+        if tile:
+            yield compared(tile, at[1] == at[2])
+
+    order = ["key", "a", "b"]
+    dealt = tiles.join(prints, "id").select(*order, "own", "id", "root", "print").repartition(*order)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, "u long, v long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY
 ) -> DataFrame:
@@ -152,29 +265,21 @@ def near_duplicates(
     leaders = usable.join(classes.select("set_key", "root"), "set_key").where("id = root")
     buckets = leaders.select("id", F.explode("bands").alias("key")).distinct()
     crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stored(buckets.join(crowded, "key").select("key", "id", F.col("id").alias("root")))
+    members = buckets.join(crowded, "key").select("key", "id", F.col("id").alias("root"), F.col("id").alias("big"))
+    members = stored(members)
     # Only rows that share a bucket are ever compared, so only their texts are shuffled on.
     wanted = members.select("id").distinct()
     texts = stored(source.where("id IS NOT NULL").join(wanted, "id", "left_semi"))
 
     links = copies
-    tested = None
-    attempt, roots = 0, None
-    while roots is None or not members.isEmpty():
-        chosen = stored(pivots(members, attempt, []))
-        offered = _star_edges(members, chosen)
-        if tested is not None:
-            offered = offered.join(tested, ["u", "v"], "left_anti")
-        offered = stored(offered)
-        found = stored(_similar(offered, texts, similarity))
-        if roots is None or not found.isEmpty():
-            links = links.union(found)
-            roots = stored(components(links))
-        tested = offered if tested is None else tested.union(offered)
-        # A pivot has met all others of its bucket and leaves it.
-        left = members.join(chosen.select("key", "id"), ["key", "id"], "left_anti")
-        members = stored(open_members(left, roots))
-        attempt += 1
+    for attempt in range(STAR_ROUNDS):
+        offered = stored(_star_edges(members, _pivots(members, attempt)))
+        links = links.union(stored(_similar(offered, texts, similarity)))
+        roots = stored(components(links))
+        members = stored(open_members(members, roots))
+    if not members.isEmpty():
+        offered = stored(_close_pairs(members, _prints(members, texts), similarity))
+        roots = stored(components(links.union(stored(_similar(offered, texts, similarity)))))
     return (
         rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("component_id", F.coalesce("root", "id"))
@@ -188,8 +293,15 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that their group keeps: those with the group's smallest id, or no id."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("NOT kept").select(
-        F.col("doc_id").alias("_near_gone")
-    )
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("_near_gone"), "left_anti")
+    """One row of each group of ``docs``: that with the group's smallest id, and of several rows with this id the
+    first by text. Rows without an id (NULL) are in no group and stay."""
+    judged = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id IS NOT NULL")
+    ids = stored(judged.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    special = ids.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_near_id"))
+    single = docs.join(special, F.col(id_col) == F.col("_near_id"), "left_anti")
+    # Ids of several rows are rare; only their rows are moved.
+    several = ids.where("kept AND n > 1").select(F.col("doc_id").alias("_near_id"))
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    of_several = docs.join(several, F.col(id_col) == F.col("_near_id"), "left_semi")
+    one_each = of_several.withColumn("_near_at", F.row_number().over(first)).where("_near_at = 1").drop("_near_at")
+    return single.unionByName(one_each)
