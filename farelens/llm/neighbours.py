@@ -27,7 +27,6 @@ INTRODUCED = 8  # nearest others that an introduction reports to each vector
 PROJECTIONS = 4
 ROUNDS = 5
 POOL = 120
-SEARCH_ROUNDS = 12
 CELL_ROWS = 2_000  # about so many vectors share a cell of a random projection and are sorted together
 
 
@@ -143,20 +142,25 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 10)
     """
     vectors = nodes.where("node = id").select("id", "vec")
     links = stored(graph.union(graph.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
-    drawn = vectors.select("id", F.xxhash64("id", F.lit("entry")).alias("h")).orderBy("h", "id").limit(POOL).collect()
+    drawn = vectors.select("id", "vec").orderBy(F.xxhash64("id", F.lit("entry")), "id").limit(POOL)
+    entries = stored(drawn.select(F.col("id").alias("other"), F.col("vec").alias("v")))
+    names = F.array(*[F.lit(row["other"]) for row in entries.select("other").collect()])
     probe = queries.select(F.col("id").alias("query_id"), "vec")
-    entry_points = F.explode(F.array(*[F.lit(row["id"]) for row in drawn]))
-    own = probe.join(vectors, "vec").select("query_id", F.col("id").alias("other"))
-    candidates = probe.select("query_id", entry_points.alias("other")).union(own).distinct()
-    pool = None
+    # Every query meets every entry point: these few rows go to the queries, not the queries to them.
+    first = probe.withColumn("other", F.explode(names)).join(F.broadcast(entries), "other")
+    own = probe.join(vectors.select("vec", F.col("id").alias("other")), "vec")
+    columns = ["query_id", F.col("other").alias("vec_id"), _distance(F.col("vec"), F.col("v")).alias("score")]
+    started = first.select(*columns).union(own.select("query_id", F.col("other").alias("vec_id"), F.lit(0.0).alias("score")))
+    candidates = pool = None
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    for _ in range(SEARCH_ROUNDS):
-        measured = (
-            candidates.join(vectors.select(F.col("id").alias("other"), F.col("vec").alias("v")), "other")
-            .join(probe, "query_id")
-            .select("query_id", F.col("other").alias("vec_id"), _distance(F.col("vec"), F.col("v")).alias("score"))
-            .withColumn("expanded", F.lit(False))
-        )
+    # Pools only get better, so what fell out of one never comes back, and this ends.
+    while True:
+        if candidates is None:
+            measured = started.distinct()
+        else:
+            met = candidates.join(vectors.select(F.col("id").alias("other"), F.col("vec").alias("v")), "other")
+            measured = met.join(probe, "query_id").select(*columns)
+        measured = measured.withColumn("expanded", F.lit(False))
         if pool is not None:
             known = pool.select("query_id", "vec_id")
             measured = pool.withColumn("expanded", F.lit(True)).unionByName(
@@ -189,10 +193,15 @@ def nearest_neighbours(
 
     Distances are Euclidean, in double precision. Rows that are not ``usable`` take no part; a query
     with fewer than k candidates gets all that are found; ties go to the smaller id; repeated rows count
-    once; empty tables give an empty result; other columns are ignored. All vectors must have one length.
+    once; empty tables give an empty result; other columns are ignored. Vectors and queries of another length
+    than most vectors have take no part (where two lengths are as frequent, the shorter one counts).
     """
-    nodes = stored(_nodes(usable(vectors, id_col, vector_col), k))
-    asked = stored(usable(queries, id_col, vector_col).dropDuplicates(["id"]))
+    sound = usable(vectors, id_col, vector_col)
+    lengths = sound.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    usual = lengths.orderBy(F.desc("n"), "size").first()
+    same = F.size("vec") == F.lit(usual["size"] if usual else 0)
+    nodes = stored(_nodes(sound.where(same), k))
+    asked = stored(usable(queries, id_col, vector_col).where(same).dropDuplicates(["id"]))
     first = nodes.first()
     if first is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -68,6 +68,13 @@ def test_neighbours_with_own_column_names_and_ties(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(0, 0.0), (6, 0.0), (9, 0.0), (12, 0.0)]
 
 
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(9)] + [(20, [1.0]), (21, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(vectors, vectors.where("vec_id IN (0, 20, 21)"), k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+
+
 def test_pages_with_own_column_names(spark):
     pages = spark.createDataFrame([(1, "u", "<p>One line.</p>", "old", "x")], "page_id long, url string, html string, text string, n_chars string")
     (row,) = html_text.extract(pages).collect()
