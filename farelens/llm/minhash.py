@@ -4,9 +4,9 @@
    range is cut into bins, each bin keeps its least value, and an empty bin borrows the value of a
    full one found by a fixed random walk (optimal densification).
 2. Rows with equal sets are one class; only the row with the smallest id goes on.
-3. Each band of the signature is a bucket key. In a few rounds each bucket offers edges from one pivot to its
-   members of other components, the first time from the smallest id, then from drawn ones. So a bucket of one
-   component, however large, costs one edge a row and round.
+3. Each band of the signature is a bucket key. In each round a bucket offers edges from one pivot to its
+   members of other components, the first time from the smallest id, then from drawn ones, for as long as
+   this finds links. So a bucket of one component, however large, costs one edge a row and round.
 4. Offered edges are confirmed on the full sets; confirmed links make components, and buckets of a single one
    are done.
 5. What is still open, such as texts that share a template, is compared by fine prints: four more one-permutation
@@ -39,12 +39,14 @@ BINS = BANDS * ROWS
 PROBES = 64
 SIMILARITY = 75  # per cent
 PIECE = 256
-STAR_ROUNDS = 3
+LEAST_FOUND = 0.01  # share of offered star edges that must be links for another such round
 PRINTS = 4  # further signatures, of BINS bytes each
 PRINT_BYTES = PRINTS * BINS
 PRINT_ROWS = 6  # bytes of a band of the prints
-CROWDED = 1_024  # members of an open bucket that is split by these bands
 BLOCK = 512  # members of a bucket that one task compares with as many others
+# Members of an open bucket that is split by these bands. A member is copied to each block of its bucket or, split,
+# to each band, so splitting pays once there are more blocks than bands.
+CROWDED = PRINT_BYTES // PRINT_ROWS * BLOCK
 DEVIATIONS = 5  # of the estimated similarity that a pair may lie below the wanted one
 
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -271,12 +273,16 @@ def near_duplicates(
     wanted = members.select("id").distinct()
     texts = stored(source.where("id IS NOT NULL").join(wanted, "id", "left_semi"))
 
-    links = copies
-    for attempt in range(STAR_ROUNDS):
+    links, attempt = copies, 0
+    while True:
         offered = stored(_star_edges(members, _pivots(members, attempt)))
-        links = links.union(stored(_similar(offered, texts, similarity)))
-        roots = stored(components(links))
+        found = stored(_similar(offered, texts, similarity))
+        roots = stored(components(links.union(found)))
         members = stored(open_members(members, roots))
+        # Components are links enough for those of the next round.
+        links, attempt = roots.select(F.col("node").alias("u"), F.col("root").alias("v")), attempt + 1
+        if found.count() <= LEAST_FOUND * offered.count():
+            break
     if not members.isEmpty():
         offered = stored(_close_pairs(members, _prints(members, texts), similarity))
         roots = stored(components(links.union(stored(_similar(offered, texts, similarity)))))
@@ -298,9 +304,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     judged = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id IS NOT NULL")
     ids = stored(judged.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
     special = ids.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_near_id"))
-    single = docs.join(special, F.col(id_col) == F.col("_near_id"), "left_anti")
-    # Ids of several rows are rare; only their rows are moved.
-    several = ids.where("kept AND n > 1").select(F.col("doc_id").alias("_near_id"))
+    # These ids grow with the table, so the join is the same at every size: both sides are shuffled.
+    single = docs.join(special.hint("merge"), F.col(id_col) == F.col("_near_id"), "left_anti")
+    # Ids of several rows are rare. Stored, so that Spark sees how few they are and moves no other rows for them.
+    several = stored(ids.where("kept AND n > 1").select(F.col("doc_id").alias("_near_id")))
     first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
     of_several = docs.join(several, F.col(id_col) == F.col("_near_id"), "left_semi")
     one_each = of_several.withColumn("_near_at", F.row_number().over(first)).where("_near_at = 1").drop("_near_at")
