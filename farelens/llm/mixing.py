@@ -115,7 +115,8 @@ def _finish_times(queued: DataFrame, plan: MixPlan) -> DataFrame:
     )
     running = queued.withColumn(OWN + "sum", F.sum(OWN + "size").over(in_bucket))
     same = F.col(OWN + "source").eqNullSafe(F.col(OWN + "s")) & (F.col(OWN + "bucket") == F.col(OWN + "b"))
-    return running.join(own, same).withColumn(OWN + "place", F.col(OWN + "offset") + F.col(OWN + "sum"))
+    # Buckets grow with the table, so the join is the same at every size: both sides are shuffled.
+    return running.join(own.hint("merge"), same).withColumn(OWN + "place", F.col(OWN + "offset") + F.col(OWN + "sum"))
 
 
 def _finish(epoch: Column) -> Column:
