@@ -32,7 +32,8 @@ RATE_CODES = "(1, 'Standard'), (2, 'JFK'), (3, 'Newark'), (4, 'Nassau'), (5, 'Ne
 
 
 def derive_star(spark: SparkSession, sf_dir: str) -> TripTables:
-    """The six tables as lazy plans over the Parquet files in ``sf_dir``."""
+    """The six tables as lazy plans over the Parquet files in ``sf_dir``. A report on them reads, joins and shuffles
+    only the columns it needs, which is far less than storing all trips."""
     src = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCES}
     return TripTables(
         fact_trips=_fact_trips(src),
@@ -49,9 +50,14 @@ def stage_star(spark: SparkSession, sf_dir: str) -> TripTables:
     return _stage(spark, sf_dir)[0]
 
 
-def stage_root(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the staged tables."""
-    return _stage(spark, sf_dir)[1]
+def input_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the application, the source files and their state are known by."""
+    return (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of this application's own in the folder all executors share."""
+    return f"{_shared_folder(spark)}/farelens-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 def stage_raw_pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +75,9 @@ _staged_raw: dict[str, DataFrame] = {}
 
 
 def _stage(spark: SparkSession, sf_dir: str) -> tuple[TripTables, str]:
-    version = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir))
+    version = input_version(spark, sf_dir)
     if version not in _staged:
-        root = f"{_shared_folder(spark)}/farelens-{version[0]}-{uuid.uuid4().hex}"
+        root = new_folder(spark)
         write_tables(derive_star(spark, sf_dir), root)
         tables = load_tables(spark, root)
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -115,57 +121,75 @@ def raw_pickups(tables: TripTables) -> DataFrame:
 
 
 def _fact_trips(src: dict[str, DataFrame]) -> DataFrame:
-    # Orders meet their customers before the line items, so that the largest table is shuffled by
-    # order key once; customers and suppliers are broadcast only when Spark finds them small.
+    # Line items become few whole numbers before they meet their orders, so that a report moves only what it needs.
+    # That join is the same at every size: both sides are shuffled, once.
+    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    returned = F.col("l_returnflag")
+
+    def missing_every(divisor: int, value):
+        return F.when(part % divisor != 0, value)
+
+    pickup_second = (part * 7919 + supp * 613 + line * 3571) % 86400
+    ride_second = ((part * 31 + supp * 17 + F.col("l_quantity").cast("bigint") * 60) % 5400 - 60).cast("int")
+    fare = F.floor(F.col("l_extendedprice") / 10)
+    tip = F.floor(fare * F.round(F.col("l_discount") * 100) / 100)
+    extra = F.round(F.col("l_tax") * 1000).cast("bigint")
+    tip_or_nothing = F.when(returned == "R", 0).otherwise(tip)
+    tolls = F.when(F.col("l_linestatus") == "O", 655).otherwise(0)
+    lines = src["lineitem"].select(
+        "l_orderkey",
+        "l_suppkey",
+        line.alias("line"),
+        pickup_second.cast("int").alias("pickup_second"),
+        ride_second.alias("ride_second"),
+        missing_every(23, ride_second).alias("timed_second"),
+        missing_every(17, supp).alias("vendor_key"),
+        (part % 29 != 0).alias("placed"),
+        (returned == "A").alias("forwarded"),
+        missing_every(13, line - 1).alias("passenger_count"),
+        F.col("l_quantity").alias("quantity"),
+        fare.alias("fare"),
+        extra.alias("extra"),
+        F.when(returned != "R", tip).alias("tip"),
+        tolls.alias("tolls"),
+        missing_every(31, fare + extra + 150 + tip_or_nothing + tolls).alias("total"),
+    )
+    # Customers and suppliers are broadcast only when Spark finds them small.
     placed = src["orders"].join(src["customer"], F.col("o_custkey") == F.col("c_custkey"))
     base = (
-        src["lineitem"]
+        lines.hint("merge")
         .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(src["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    returned, status = F.col("l_returnflag"), F.col("l_linestatus")
-
-    pickup_second = (part * 7919 + supp * 613 + line * 3571) % 86400
-    ride_seconds = (part * 31 + supp * 17 + F.col("l_quantity").cast("bigint") * 60) % 5400 - 60
     timed = base.withColumn(
-        "pk", F.timestamp_add("second", pickup_second.cast("int"), F.col("o_orderdate"))
-    ).withColumn("dk", F.timestamp_add("second", ride_seconds.cast("int"), F.col("pk")))
+        "pk", F.timestamp_add("second", F.col("pickup_second"), F.col("o_orderdate"))
+    ).withColumn("dk", F.timestamp_add("second", F.col("ride_second"), F.col("pk")))
 
     pk, dk = F.col("pk"), F.col("dk")
-    fare = F.floor(F.col("l_extendedprice") / 10)
-    tip = F.floor(fare * F.round(F.col("l_discount") * 100) / 100)
-    extra = F.round(F.col("l_tax") * 1000)
-    tip_or_nothing = F.when(returned == "R", 0).otherwise(tip)
-    tolls = F.when(status == "O", 655).otherwise(0)
-
-    def missing_every(divisor: int, value):
-        return F.when(part % divisor != 0, value)
-
     trips = timed.select(
-        (F.col("l_orderkey") * 10 + line).alias("trip_id"),
-        missing_every(17, supp).alias("vendor_key"),
+        (F.col("l_orderkey") * 10 + F.col("line")).alias("trip_id"),
+        "vendor_key",
         date_key(pk).alias("pickup_date_key"),
         date_key(dk).alias("dropoff_date_key"),
-        missing_every(29, F.col("c_nationkey")).alias("pickup_location_key"),
+        F.when(F.col("placed"), F.col("c_nationkey")).alias("pickup_location_key"),
         F.col("s_nationkey").alias("dropoff_location_key"),
-        line.alias("rate_code_key"),
+        F.col("line").alias("rate_code_key"),
         F.substring("o_orderpriority", 1, 1).alias("payment_type_key"),
-        F.when(returned == "A", "Y").otherwise("N").alias("store_and_fwd_flag"),
+        F.when(F.col("forwarded"), "Y").otherwise("N").alias("store_and_fwd_flag"),
         pk.alias("tpep_pickup_datetime"),
         dk.alias("tpep_dropoff_datetime"),
-        missing_every(13, line - 1).alias("passenger_count"),
-        ((F.col("l_quantity") - 1) / 2.0).alias("trip_distance"),
-        (fare / 100.0).alias("fare_amount"),
-        (extra / 100.0).alias("extra"),
+        "passenger_count",
+        ((F.col("quantity") - 1) / 2.0).alias("trip_distance"),
+        (F.col("fare") / 100.0).alias("fare_amount"),
+        (F.col("extra") / 100.0).alias("extra"),
         F.lit(0.5).alias("mta_tax"),
-        F.when(returned != "R", tip / 100.0).alias("tip_amount"),
-        (tolls / 100.0).alias("tolls_amount"),
+        (F.col("tip") / 100.0).alias("tip_amount"),
+        (F.col("tolls") / 100.0).alias("tolls_amount"),
         F.lit(1.0).alias("improvement_surcharge"),
-        missing_every(31, (fare + extra + 150 + tip_or_nothing + tolls) / 100.0).alias("total_amount"),
+        (F.col("total") / 100.0).alias("total_amount"),
         F.lit(2.5).alias("congestion_surcharge"),
         F.lit(0.0).alias("airport_fee"),
-        missing_every(23, between_timestamps(pk, dk)).alias("trip_duration"),
+        between_timestamps(pk, F.timestamp_add("second", F.col("timed_second"), pk)).alias("trip_duration"),
     )
     return conform(trips, FACT_TRIPS)
 
