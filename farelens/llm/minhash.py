@@ -11,8 +11,9 @@
    are done.
 5. What is still open, such as texts that share a template, is compared by fine prints: four more one-permutation
    signatures, a byte a bin. Crowded buckets are first split by bands of these. A task holds two blocks of a
-   bucket and puts out only the pairs of different components whose prints agree as those of similar texts
-   do. So no pair of dissimilar texts is ever a row. These pairs are confirmed on the full sets, too.
+   bucket with their texts, confirms pairs of different components whose prints agree as those of similar
+   texts do on the full sets, and puts out only the links that join components. So no pair is ever a row
+   that is not such a link, and a pair that shares several buckets is compared in one of them.
 6. Components of all confirmed links give each row the smallest id it reaches.
 
 A pair of similarity 0.75 is missed, if nothing else links it, where no band agrees (probability 5e-6), where its
@@ -43,10 +44,11 @@ LEAST_FOUND = 0.01  # share of offered star edges that must be links for another
 PRINTS = 4  # further signatures, of BINS bytes each
 PRINT_BYTES = PRINTS * BINS
 PRINT_ROWS = 6  # bytes of a band of the prints
+PRINT_BANDS = PRINT_BYTES // PRINT_ROWS
 BLOCK = 512  # members of a bucket that one task compares with as many others
 # Members of an open bucket that is split by these bands. A member is copied to each block of its bucket or, split,
 # to each band, so splitting pays once there are more blocks than bands.
-CROWDED = PRINT_BYTES // PRINT_ROWS * BLOCK
+CROWDED = PRINT_BANDS * BLOCK
 DEVIATIONS = 5  # of the estimated similarity that a pair may lie below the wanted one
 
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -162,87 +164,126 @@ def fine_print(shingles: np.ndarray) -> np.ndarray:
 
 
 def _prints(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, print) of the texts that still have an open bucket."""
+    """(id, print, own_bands, t) of the texts that still have an open bucket."""
     wanted = texts.join(members.select("id").distinct(), "id", "left_semi")
+    schema = T.StructType.fromDDL("id long, print binary, own_bands binary, t string")
 
     def run(batches):
         for batch in batches:
-            made = [fine_print(shingle_set(t)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "print"])
+            for start in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(start, PIECE)
+                prints, bands = [], []
+                for text in piece.column(1).to_pylist():
+                    shingles = shingle_set(text)
+                    prints.append(fine_print(shingles).tobytes() if len(shingles) else None)
+                    bands.append(band_keys(signature(shingles)).tobytes() if len(shingles) else None)
+                made = [pa.array(prints, pa.binary()), pa.array(bands, pa.binary())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *made, piece.column(1)], schema.names)
 
-    return stored(wanted.select("id", "t").mapInArrow(run, "id long, print binary"))
+    # A blank text can share its id with one that has words.
+    return stored(wanted.select("id", "t").mapInArrow(run, schema).where("print IS NOT NULL"))
 
 
 def _split(members: DataFrame, prints: DataFrame) -> DataFrame:
-    """``members`` (key, id, root) with crowded buckets replaced by those of equal bands of prints within them."""
+    """(key, id, root, whole, at): members of small buckets as they are (``at`` is -1); crowded ones are replaced by
+    those of equal bands of prints within them, ``whole`` being the bucket and ``at`` the band."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     small = members.join(sizes.where(F.col("n") <= CROWDED).select("key"), "key")
     crowded = members.join(sizes.where(F.col("n") > CROWDED).select("key"), "key").join(prints, "id")
     cut = f"substring(print, at * {PRINT_ROWS} + 1, {PRINT_ROWS})"
-    bands = F.expr(f"transform(sequence(0, {PRINT_BYTES // PRINT_ROWS - 1}), at -> xxhash64(key, at, {cut}))")
-    banded = crowded.select("id", "root", F.explode(bands).alias("key"))
+    bands = F.expr(f"transform(sequence(0, {PRINT_BANDS - 1}), at -> xxhash64(key, at, {cut}))")
+    banded = crowded.select("id", "root", F.col("key").alias("whole"), F.posexplode(bands).alias("at", "key")).distinct()
     full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return small.select("key", "id", "root").union(banded.join(full, "key").select("key", "id", "root"))
+    columns = ["key", "id", "root", "whole", "at"]
+    whole = small.select("key", "id", "root", F.col("key").alias("whole"), F.lit(-1).alias("at"))
+    return whole.union(banded.join(full, "key").select(*columns))
+
 
+def _close_links(members: DataFrame, prints: DataFrame, similarity: int) -> DataFrame:
+    """(u, v): links that join what lies in different components within the tiles, no more than members less one a tile.
 
-def _close_pairs(members: DataFrame, prints: DataFrame, similarity: int) -> DataFrame:
-    """(u, v), each once: members of a bucket in different components whose prints are close enough."""
+    A pair of members is compared in one tile only: in the least bucket that both are in, and, where that is split, at
+    the first band of prints in which they agree. Close prints are confirmed there on the full sets.
+    """
     split = stored(_split(members, prints))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     sizes = split.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = split.join(sizes, "key").withColumn("own", own)
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tiles = placed.select("key", "id", "root", "own", F.explode(others).alias("other")).select(
-        "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "root"
+    tiles = placed.select("*", F.explode(others).alias("other")).select(
+        "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "whole", "at", "own", "id", "root"
     )
     wanted = similarity / 100
     agreeing = wanted - DEVIATIONS * np.sqrt(wanted * (1 - wanted) / PRINT_BYTES)
     least = PRINT_BYTES * (agreeing + (1 - agreeing) / 256)  # unequal bins agree in a byte by chance
+    none = np.iinfo(np.int64).max
 
-    def compared(tile: list, one_block: bool) -> pa.RecordBatch:
-        ids, roots, own, prints_ = (np.concatenate(part) for part in zip(*tile))
+    def compared(tile: list, one_block: bool, whole: int, at: int) -> pa.RecordBatch:
+        ids, roots, own, prints_, bands, texts = (np.concatenate(part) for part in zip(*tile))
         u, v = [], []
         left = np.flatnonzero(own == own.min())
         right = np.flatnonzero(own == own.max())
         if not one_block and own.min() == own.max():
             left = left[:0]  # the other block of the tile has no members
-        present, counts = np.unique(roots, return_counts=True)
-        big = present[counts.argmax()]  # its members meet the others when those are held against them
+        present, part_of, counts = np.unique(roots, return_inverse=True, return_counts=True)
+        big = roots == present[counts.argmax()]  # its members meet the others when those are held against them
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i])
+            return sets[i]
+
         for i in left if len(present) > 1 else ():
-            if one_block and roots[i] == big:
+            if one_block and big[i]:
                 continue
-            against = right[roots[right] != roots[i]]
+            against = right[part_of[right] != part_of[i]]
             if one_block:
-                against = against[(against > i) | (roots[against] == big)]
-            if len(against):
-                near = against[(prints_[against] == prints_[i]).sum(axis=1) >= least]
-                u += np.maximum(ids[i], ids[near]).tolist()
-                v += np.minimum(ids[i], ids[near]).tolist()
+                against = against[(against > i) | big[against]]
+            common = np.where(bands[against] == bands[i], bands[i], none).min(axis=1, initial=none)
+            against = against[common == whole]
+            near = against[(prints_[against] == prints_[i]).sum(axis=1) >= least]
+            if at >= 0:
+                cut = PRINT_BANDS * PRINT_ROWS
+                agree = (prints_[near, :cut] == prints_[i, :cut]).reshape(-1, PRINT_BANDS, PRINT_ROWS).all(axis=2)
+                near = near[agree[:, at] & (agree.argmax(axis=1) == at)]
+            for j in near.tolist():
+                if part_of[i] == part_of[j]:
+                    continue  # joined by a link found before
+                x, y = set_of(int(i)), set_of(j)
+                shared = overlap(x, y)
+                if 100 * shared >= similarity * (len(x) + len(y) - shared):
+                    u.append(max(ids[i], ids[j]))
+                    v.append(min(ids[i], ids[j]))
+                    part_of[part_of == part_of[j]] = part_of[i]
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
+    order = ["key", "a", "b", "whole", "at"]
+
     def run(batches):
-        at, tile = None, []
+        now, tile = None, []
         for batch in batches:
             for start in range(0, batch.num_rows, PIECE):
                 piece = batch.slice(start, PIECE)
-                keys = np.stack([piece.column(k).to_numpy() for k in range(3)], axis=1)
-                columns = [piece.column(k).to_numpy() for k in (4, 5, 3)]
-                columns.append(np.frombuffer(b"".join(piece.column(6).to_pylist()), np.uint8).reshape(-1, PRINT_BYTES))
+                keys = np.stack([piece.column(k).to_numpy() for k in range(len(order))], axis=1)
+                columns = [piece.column(k).to_numpy() for k in (6, 7, 5)]
+                for k, kind, width in ((8, np.uint8, PRINT_BYTES), (9, np.int64, BANDS)):
+                    columns.append(np.frombuffer(b"".join(piece.column(k).to_pylist()), kind).reshape(-1, width))
+                columns.append(np.array(piece.column(10).to_pylist(), dtype=object))
                 edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
                 for first, last in zip(edges, edges[1:]):
                     key = tuple(keys[first].tolist())
-                    if key != at:
+                    if key != now:
                         if tile:
-                            yield compared(tile, at[1] == at[2])
-                        at, tile = key, []
+                            yield compared(tile, now[1] == now[2], *now[3:])
+                        now, tile = key, []
                     tile.append([c[first:last] for c in columns])
         if tile:
-            yield compared(tile, at[1] == at[2])
+            yield compared(tile, now[1] == now[2], *now[3:])
 
-    order = ["key", "a", "b"]
-    dealt = tiles.join(prints, "id").select(*order, "own", "id", "root", "print").repartition(*order)
-    return dealt.sortWithinPartitions(*order).mapInArrow(run, "u long, v long").distinct()
+    dealt = tiles.join(prints, "id").select(*order, "own", "id", "root", "print", "own_bands", "t").repartition(*order)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(
@@ -284,8 +325,8 @@ def near_duplicates(
         if found.count() <= LEAST_FOUND * offered.count():
             break
     if not members.isEmpty():
-        offered = stored(_close_pairs(members, _prints(members, texts), similarity))
-        roots = stored(components(links.union(stored(_similar(offered, texts, similarity)))))
+        close = stored(_close_links(members, _prints(members, texts), similarity))
+        roots = stored(components(links.union(close)))
     return (
         rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("component_id", F.coalesce("root", "id"))
