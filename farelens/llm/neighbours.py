@@ -3,7 +3,8 @@
 NN-descent: every vector starts with the vectors beside it in the order of a few random projections
 (taken inside range partitions, so nothing is sorted in one task). Then, round by round, the
 neighbours of each vector, forward and a bounded number of backward ones, are introduced to each
-other: one Spark join brings their vectors together, one aggregation keeps the nearest for each.
+other: groups of vectors near the same centre meet in a cell, one Spark join brings the vectors to
+the cells that ask for them, one aggregation keeps the nearest for each.
 
 Search: each query holds a pool of its best vectors so far. Every round, the pool's members that were
 not yet expanded are joined with the graph, what is new is measured and the pool cut again, until no
@@ -27,6 +28,8 @@ INTRODUCED = 8  # nearest others that an introduction reports to each vector
 PROJECTIONS = 4
 ROUNDS = 5
 POOL = 120
+MEETING_ROWS = 1_000  # vectors whose groups meet in one task
+MOST_CENTRES = 1_024
 CELL_ROWS = 2_000  # about so many vectors share a cell of a random projection and are sorted together
 
 
@@ -81,31 +84,58 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
-def _introduce(batches):
-    """For each row (members, vecs): every member's nearest other members."""
-    for pdf in batches:
-        ids, others, dists = [], [], []
-        for members, vecs in zip(pdf["members"], pdf["vecs"]):
-            names = np.asarray(members, dtype=np.int64)
-            if len(names) < 2:
-                continue
-            x = np.stack(vecs)
-            sq = (x * x).sum(axis=1)
-            d = sq[:, None] + sq[None, :] - 2.0 * (x @ x.T)
-            np.fill_diagonal(d, np.inf)
-            k = min(INTRODUCED, len(names) - 1)
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            ids.append(np.repeat(names, k))
-            others.append(names[near].ravel())
-            dists.append(np.take_along_axis(d, near, axis=1).ravel())
-        if ids:
-            yield pd.DataFrame(
-                {"id": np.concatenate(ids), "other": np.concatenate(others), "dist": np.concatenate(dists)}
-            )
-
-
-def _round(graph: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One round of NN-descent. graph: (id, other)."""
+def _cells(vectors: DataFrame) -> DataFrame:
+    """(id, cell): vectors near the same drawn centre share a cell; a crowded one is dealt out by a hash of the id."""
+    wanted = max(1, min(vectors.count() // MEETING_ROWS, MOST_CENTRES))
+    drawn = vectors.orderBy(F.xxhash64("id", F.lit("centre")), "id").limit(wanted).collect()
+    centres = np.array([row["vec"] for row in drawn])
+    sizes = (centres * centres).sum(axis=1)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                at = (sizes - 2.0 * (np.stack(pdf["vec"]) @ centres.T)).argmin(axis=1)
+                yield pd.DataFrame({"id": pdf["id"], "centre": at})
+
+    near = stored(vectors.select("id", "vec").mapInPandas(run, "id long, centre long"))
+    parts = near.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEETING_ROWS).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    return stored(near.join(parts, "centre").select("id", F.xxhash64("centre", part).alias("cell")))
+
+
+def _introduce(groups: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """The groups (id, other) of a cell: for every member its nearest other members, at most ``NEIGHBOURS`` of all groups."""
+    known = known.sort_values("name")
+    names, vecs = known["name"].to_numpy(), np.stack(known["vec"])
+    groups = groups.sort_values(["id", "other"])
+    place = np.searchsorted(names, groups["other"].to_numpy())
+    starts = np.flatnonzero(np.diff(groups["id"].to_numpy())) + 1
+    ids, others, dists = [], [], []
+    for members in np.split(place, starts):
+        if len(members) < 2:
+            continue
+        x = vecs[members]
+        sq = (x * x).sum(axis=1)
+        d = sq[:, None] + sq[None, :] - 2.0 * (x @ x.T)
+        np.fill_diagonal(d, np.inf)
+        k = min(INTRODUCED, len(members) - 1)
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        ids.append(np.repeat(members, k))
+        others.append(members[near].ravel())
+        dists.append(np.take_along_axis(d, near, axis=1).ravel())
+    if not ids:
+        return pd.DataFrame({"id": [], "other": [], "dist": []})
+    a, b, dist = np.concatenate(ids), np.concatenate(others), np.concatenate(dists)
+    _, first = np.unique(a * len(names) + b, return_index=True)
+    a, b, dist = a[first], b[first], dist[first]
+    order = np.lexsort((b, dist, a))
+    a, b, dist = a[order], b[order], dist[order]
+    kept = np.arange(len(a)) - np.searchsorted(a, a) < NEIGHBOURS
+    return pd.DataFrame({"id": names[a[kept]], "other": names[b[kept]], "dist": dist[kept]})
+
+
+def _round(graph: DataFrame, vectors: DataFrame, cells: DataFrame) -> DataFrame:
+    """One round of NN-descent. graph: (id, other). A vector goes once to each cell that asks for it, not to each group."""
     draw = Window.partitionBy("id").orderBy(F.xxhash64("id", "other"))
     backward = (
         graph.select(F.col("other").alias("id"), F.col("id").alias("other"))
@@ -114,18 +144,19 @@ def _round(graph: DataFrame, vectors: DataFrame) -> DataFrame:
         .drop("place")
     )
     own = vectors.select("id", F.col("id").alias("other"))
-    around = graph.select("id", "other").union(backward).union(own).distinct()
-    named = around.join(vectors.select(F.col("id").alias("other"), "vec"), "other")
-    groups = named.groupBy("id").agg(F.collect_list("other").alias("members"), F.collect_list("vec").alias("vecs"))
-    met = groups.select("members", "vecs").mapInPandas(_introduce, "id long, other long, dist double")
+    around = stored(graph.select("id", "other").union(backward).union(own).distinct().join(cells, "id"))
+    asked = around.select(F.col("cell").alias("at"), F.col("other").alias("name")).distinct()
+    known = asked.join(vectors.select(F.col("id").alias("name"), "vec"), "name")
+    met = around.groupBy("cell").cogroup(known.groupBy("at")).applyInPandas(_introduce, "id long, other long, dist double")
     return _nearest(met.groupBy("id", "other").agg(F.min("dist").alias("dist")), NEIGHBOURS)
 
 
 def build_graph(vectors: DataFrame, dims: int, rounds: int = ROUNDS) -> DataFrame:
     """(id, other): the neighbour graph of ``vectors`` (id, vec)."""
     graph = stored(_first_graph(vectors, dims))
+    cells = _cells(vectors)
     for _ in range(rounds):
-        graph = stored(_round(graph, vectors).select("id", "other"))
+        graph = stored(_round(graph, vectors, cells).select("id", "other"))
     return graph
 
 
